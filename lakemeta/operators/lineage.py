@@ -45,7 +45,7 @@ def fk_lineage_payload(fks: DataFrame, connectors: DataFrame) -> DataFrame:
     app = pids.app_pid("connector_id", "database_type")
     pairs = (_column_pairs(fks)
              .filter((F.col("_pair.from_column") != "") & (F.col("_pair.to_column") != ""))
-             .join(connectors.select("connector_id", "database_type"), "connector_id")
+             .join(connectors.select("connector_id", "database_type"), "connector_id", "left")
              .withColumn("application_pid", app))
     pid = lambda column, table, schema: pids.element_pid(column, pids.entity_pid(
         table, pids.container_pid(schema, "application_pid")))

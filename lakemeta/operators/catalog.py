@@ -78,7 +78,7 @@ def latest_snapshots(snapshots: DataFrame) -> DataFrame:
 
 def fresh_snapshots(snapshots: DataFrame, as_of, ttl_hours: float = DEFAULT_TTL_HOURS) -> DataFrame:
     """Each connector's newest snapshot at ``as_of``, hidden once older than the time to live."""
-    as_of = F.lit(as_of).cast(snapshots.schema["discovered_at"].dataType)
+    as_of = F.lit(str(as_of)).cast(snapshots.schema["discovered_at"].dataType)
     oldest = as_of - F.make_dt_interval(secs=F.lit(ttl_hours * 3600.0))
     known = snapshots.filter((F.col("discovered_at") <= as_of) & (F.col("discovered_at") >= oldest))
     return latest_snapshots(known)

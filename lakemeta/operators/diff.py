@@ -7,6 +7,7 @@ and no task holds more than its hash share. Roll-ups to table and schema are par
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from lakemeta.functions import fixed_values as fx
 from lakemeta.model import COLUMN_KEY, SCHEMA_KEY, TABLE_KEY, Catalog
 from lakemeta.operators.catalog import latest_per_key
+from lakemeta.session import materialize
 
 ADDED, DROPPED, MODIFIED, UNCHANGED = "added", "dropped", "modified", "unchanged"
 COUNTERS = ["tables_added", "tables_dropped", "tables_modified", "columns_added",
@@ -179,13 +181,28 @@ def diff_summary(tables: DataFrame, columns: DataFrame, constraints: DataFrame)
     return summary.withColumn("has_changes", reduce(lambda a, b: a + b, map(F.col, COUNTERS)) > 0)
 
 
-def catalog_diff(old: Catalog, new: Catalog) -> dict[str, DataFrame]:
-    """All levels at once, lazily: schemas, tables, columns, constraints and summary."""
-    columns = diff_columns(old.columns, new.columns)
-    constraints = diff_constraints(old, new)
+class CatalogDiff(NamedTuple):
+    """Every level of a diff. ``columns`` and ``constraints`` hold changed rows only."""
+
+    schemas: DataFrame
+    tables: DataFrame
+    columns: DataFrame
+    constraints: DataFrame
+    summary: DataFrame
+
+
+def catalog_diff(old: Catalog, new: Catalog) -> CatalogDiff:
+    """All levels at once.
+
+    Every level above needs the changed columns and constraints, so those — and only the changed
+    rows, a sliver of the catalogs — are written once and shared.
+    """
+    changed = diff_columns(old.columns, new.columns).filter(F.col("status") != UNCHANGED)
+    columns = materialize(changed, "column-diff")
+    constraints = materialize(diff_constraints(old, new), "constraint-diff")
     tables = diff_tables(old, new, columns, constraints)
-    return {"schemas": diff_schemas(old, new, tables), "tables": tables, "columns": columns,
-            "constraints": constraints, "summary": diff_summary(tables, columns, constraints)}
+    return CatalogDiff(diff_schemas(old, new, tables), tables, columns, constraints,
+                       diff_summary(tables, columns, constraints))
 
 
 def empty_like(catalog: Catalog) -> Catalog:
@@ -193,29 +210,29 @@ def empty_like(catalog: Catalog) -> Catalog:
     return Catalog(*[df.limit(0) for df in catalog])
 
 
-def all_added(new: Catalog) -> dict[str, DataFrame]:
+def all_added(new: Catalog) -> CatalogDiff:
     """First run: everything is added; the same joins against nothing."""
     return catalog_diff(empty_like(new), new)
 
 
-def change_report(diff: dict[str, DataFrame]) -> DataFrame:
+def change_report(diff: CatalogDiff) -> DataFrame:
     """Changed schemas and tables, and the changed columns of modified tables, one line each."""
     mark = F.when(F.col("status") == ADDED, F.lit("+")).when(
         F.col("status") == DROPPED, F.lit("-")).otherwise(F.lit("~"))
     none = F.lit(None).cast("string")
     changed = lambda df: df.filter(F.col("status") != UNCHANGED)
 
-    schemas = changed(diff["schemas"]).select(
+    schemas = changed(diff.schemas).select(
         *SCHEMA_KEY, none.alias("table_name"), none.alias("column_name"),
         F.concat_ws(" ", mark, F.lit("SCHEMA"), "schema_name").alias("line"))
-    tables = changed(diff["tables"]).select(
+    tables = changed(diff.tables).select(
         *TABLE_KEY, none.alias("column_name"),
         F.concat_ws(" ", mark, F.lit("TABLE"), "table_name").alias("line"))
     shown = lambda c: F.coalesce(c, F.lit("undefined"))
     details = F.transform("changes", lambda c: F.concat(
         F.lit("("), c["field"], F.lit(": "), shown(c["old_value"]), F.lit(" → "),
         shown(c["new_value"]), F.lit(")")))
-    modified = diff["tables"].filter(F.col("status") == MODIFIED).select(*TABLE_KEY)
-    columns = changed(diff["columns"]).join(modified, TABLE_KEY, "left_semi").select(
+    modified = diff.tables.filter(F.col("status") == MODIFIED).select(*TABLE_KEY)
+    columns = changed(diff.columns).join(modified, TABLE_KEY, "left_semi").select(
         *COLUMN_KEY, F.concat_ws(" ", mark, F.col("column_name"), details).alias("line"))
     return schemas.unionByName(tables).unionByName(columns)

@@ -45,17 +45,19 @@ def jobs_with_latest(jobs: DataFrame, runs: DataFrame, tie: str = "run_id") -> D
 
 def recover_orphans(runs: DataFrame, as_of) -> DataFrame:
     """Closes runs left RUNNING: failed, completed at ``as_of``, lasting until then."""
-    now = F.lit(as_of).cast("timestamp")
+    kind = runs.schema["started_at"].dataType
+    now = F.lit(str(as_of)).cast(T.TimestampType() if isinstance(kind, T.StringType) else kind)
     stale = F.col("status") == "RUNNING"
-    started_at = F.col("started_at").cast("timestamp")
-    lasted = F.unix_millis(now) - F.unix_millis(started_at)
+    millis = lambda c: F.unix_millis(c.cast("timestamp"))
+    lasted = millis(now) - millis(started(runs))
     changed = lambda name, value: F.when(stale, value).otherwise(
-        F.col(name) if name in runs.columns else F.lit(None)).alias(name)
+        F.col(name) if name in runs.columns else F.lit(None))
     updates = {
         "status": changed("status", F.lit("FAILED")),
         "error": changed("error", F.lit(fx.ORPHANED_RUN_ERROR)),
         "completed_at": changed("completed_at", now),
-        "duration_ms": changed("duration_ms", F.coalesce(lasted, F.col("duration_ms")))}
+        "duration_ms": changed("duration_ms", F.when(F.col("started_at").isNotNull(), lasted)
+                               .otherwise(F.col("duration_ms")))}
     return runs.withColumns(updates)
 
 
@@ -90,8 +92,9 @@ def duration_trend(runs: DataFrame, bucket: str = "day", key: str = "job_id",
     Runs are first reduced to one row per bucket; only those rows enter the per-job window, so its
     size follows calendar time, not the number of runs.
     """
+    start = F.date_trunc(bucket, "started_at").cast(runs.schema["started_at"].dataType)
     buckets = (runs.filter(F.col("duration_ms").isNotNull())
-               .groupBy(key, F.date_trunc(bucket, "started_at").alias("bucket"))
+               .groupBy(key, start.alias("bucket"))
                .agg(F.count("*").alias("runs"), F.sum("duration_ms").alias("total_ms"),
                     F.max("duration_ms").alias("max_ms")))
     ordered = Window.partitionBy(key).orderBy("bucket")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from lakemeta.functions import datatypes, pids
@@ -164,8 +162,7 @@ def latest_snapshot(spark, sf_dir):
   AND discovered_at >= TIMESTAMP '{_AS_OF}' - INTERVAL 720 HOUR)
 SELECT {_SNAP} FROM ({_RANKED.format("w")}) WHERE rn = 1""")
 def fresh_snapshots(spark, sf_dir):
-    return catalog.fresh_snapshots(load(spark, sf_dir, "snapshots"),
-                                   dt.datetime.fromisoformat(_AS_OF), ttl_hours=720)
+    return catalog.fresh_snapshots(load(spark, sf_dir, "snapshots"), _AS_OF, ttl_hours=720)
 
 
 @query(f"""{ctes("snapshots")} SELECT {_SNAP} FROM snapshots

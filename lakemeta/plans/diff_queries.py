@@ -174,12 +174,12 @@ SELECT connector_id, {", ".join(cells)},
 
 @query(_summary_sql(CATALOG))
 def diff_summary(spark, sf_dir):
-    return diff.catalog_diff(*both(spark, sf_dir))["summary"]
+    return diff.catalog_diff(*both(spark, sf_dir)).summary
 
 
 @query(_summary_sql(FIRST_RUN))
 def diff_first_run(spark, sf_dir):
-    return diff.all_added(workload_catalog(spark, sf_dir, "new"))["summary"]
+    return diff.all_added(workload_catalog(spark, sf_dir, "new")).summary
 
 
 _MARK = "CASE st WHEN 'added' THEN '+' WHEN 'dropped' THEN '-' ELSE '~' END"

@@ -235,6 +235,30 @@ WORKLOADS = {
     'jdbc:db://u:pw' || CAST(event_id AS STRING) || '@host/db Password=' || CAST(user_id AS STRING)
       || ' pwd: ' || CAST(event_id AS STRING) || ' APIKEY=' || CAST(user_id AS STRING)
       || ' end' END AS message
+  FROM {events}""",
+    # Repeated keys: one key holds a third of the batch.
+    "upsert_base": """SELECT 'P' || CAST(c_custkey AS STRING) AS pid, c_name AS name,
+    c_mktsegment AS description FROM {customer} WHERE c_custkey % 2 = 0""",
+    "upsert_batch": """SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'HOT'
+      ELSE 'P' || CAST(o_custkey AS STRING) END AS pid, o_orderpriority AS name,
+    o_orderstatus AS description, o_orderkey AS seq FROM {orders}""",
+    "lineage_store": """SELECT DISTINCT 'APP-' || CAST(c_custkey % 3 AS STRING) AS application_pid,
+    'C' || CAST(c_custkey % 300 AS STRING) || '|C' || CAST((c_custkey * 7) % 300 AS STRING) AS edge_key,
+    'C' || CAST(c_custkey % 300 AS STRING) AS source_element_pid,
+    'C' || CAST((c_custkey * 7) % 300 AS STRING) AS target_element_pid,
+    'FK' AS lineage_source
+  FROM {customer} WHERE c_custkey % 300 <> (c_custkey * 7) % 300""",
+    "lineage_batch": """SELECT 'APP-' || CAST(o_custkey % 3 AS STRING) AS application_pid,
+    'C' || CAST(o_custkey % 300 AS STRING) AS source_element_pid,
+    'C' || CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey * 7 ELSE o_orderkey END % 300 AS STRING)
+      AS target_element_pid,
+    CASE o_orderkey % 7 WHEN 0 THEN 'FK' WHEN 1 THEN 'OPERATIONAL' WHEN 2 THEN 'ETL'
+      WHEN 3 THEN 'MANUAL' WHEN 4 THEN 'SQL_PARSER' WHEN 5 THEN NULL ELSE 'GUESS' END AS lineage_source,
+    o_orderkey AS seq FROM {orders}""",
+    "finished_runs": """SELECT event_id AS run_id,
+    CASE WHEN event_type = 'signup' THEN 'Job timed out after 600s'
+      WHEN event_type = 'error' THEN 'connection refused' END AS error,
+    CASE WHEN event_type IN ('purchase', 'click') THEN user_id % 2 = 0 END AS has_changes
   FROM {events}""",
     "store_rows": _upsert_rows("l_linenumber < 5"),
     "batch_rows": _upsert_rows("l_linenumber > 3"),

@@ -236,6 +236,32 @@ WORKLOADS = {
       || ' pwd: ' || CAST(event_id AS STRING) || ' APIKEY=' || CAST(user_id AS STRING)
       || ' end' END AS message
   FROM {events}""",
+    # One metadata document per order: every optional part is missing, empty or filled somewhere.
+    "iceberg_documents": """SELECT 'ns' || CAST(o_custkey % 20 AS STRING) AS namespace,
+    't' || CAST(o_orderkey AS STRING) AS table_name,
+    '{{"metadata":{{' || CASE WHEN o_orderkey % 4 = 3 THEN ''
+        ELSE '"current-schema-id":' || CAST(o_orderkey % 4 AS STRING) || ',' END
+      || '"schemas":[{{"schema-id":0,"fields":['
+      || '{{"id":1,"name":"ID","required":true,"type":"Long"}},'
+      || '{{"id":2,"name":"amount","required":false,"type":"decimal(' || CAST(o_custkey % 30 + 3 AS STRING)
+      || ', 2)","doc":"total ' || o_orderpriority || '"}}]}},'
+      || '{{"schema-id":1,"fields":[{{"id":1,"name":"hash","type":"fixed[' || CAST(o_custkey % 64 AS STRING)
+      || ']"}},{{"id":2,"name":"tags","required":false,"type":{{"type":"list","element":"string"}}}},'
+      || '{{"id":3,"name":"s","required":true,"type":{{"fields":[]}},"doc":""}}]}}]'
+      || CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN ',"partition-specs":[{{"spec-id":0,"fields":[]}}]'
+         ELSE ',"partition-specs":[{{"spec-id":0,"fields":[]}},{{"spec-id":1,"fields":['
+           || '{{"name":"day","transform":"day"}},{{"name":"b","transform":"bucket['
+           || CAST(o_custkey % 16 AS STRING) || ']"}}]}}]' END
+      || CASE WHEN o_custkey % 2 = 0
+         THEN ',"sort-orders":[{{"order-id":1,"fields":[{{"source-id":1}},{{"source-id":2}}]}}]' ELSE '' END
+      || CASE o_custkey % 4 WHEN 0 THEN ',"properties":{{}}' WHEN 1 THEN ',"properties":{{"a":"1"}}'
+         WHEN 2 THEN ',"properties":{{"a":"1","b":"2"}}' ELSE '' END
+      || CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN ',"snapshots":[]'
+         WHEN 2 THEN ',"snapshots":[{{"snapshot-id":1}}]'
+         ELSE ',"snapshots":[{{"summary":{{"total-records":"5"}}}},{{"summary":{{"total-records":"'
+           || CAST(o_orderkey * 11 AS STRING) || '"}}}}]' END
+      || '}}}}' AS document
+  FROM {orders}""",
     # Repeated keys: one key holds a third of the batch.
     "upsert_base": """SELECT 'P' || CAST(c_custkey AS STRING) AS pid, c_name AS name,
     c_mktsegment AS description FROM {customer} WHERE c_custkey % 2 = 0""",

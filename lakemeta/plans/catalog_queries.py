@@ -12,7 +12,7 @@ from lakemeta.operators import catalog
 from lakemeta.plans import oracle_parts as parts
 from lakemeta.plans.inputs import workload_catalog
 from lakemeta.plans.registry import query
-from lakemeta.plans.workloads import ctes, load, sql
+from lakemeta.plans.workloads import ctes, load, sql, table
 
 # --- scalar functions over the wide catalog --------------------------------------------------
 
@@ -82,7 +82,7 @@ def redacted_logs(spark, sf_dir):
 
 @query(f"SELECT doc_id, {_redact_sql('text')} AS text FROM documents")
 def redacted_documents(spark, sf_dir):
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return redact.redact_credentials(documents, "text")
 
 
@@ -180,7 +180,7 @@ SELECT conn.connector_id, database_type,
   last_discovered_at IS NOT NULL AS has_cached_discovery
 FROM conn LEFT JOIN last ON conn.connector_id = last.connector_id""")
 def connector_status(spark, sf_dir):
-    connectors = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(
+    connectors = table(spark, sf_dir, "customer").selectExpr(
         "'conn-' || CAST(c_custkey AS STRING) AS connector_id", "c_mktsegment AS database_type",
         "CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN NULL ELSE c_name END AS password")
     return catalog.connector_status(connectors, load(spark, sf_dir, "snapshots"))

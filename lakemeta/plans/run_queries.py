@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakemeta.operators import runs
 from lakemeta.plans.registry import query
-from lakemeta.plans.workloads import ctes, load
+from lakemeta.plans.workloads import ctes, load, table
 
 _AS_OF = "2024-06-01 12:00:00"
 _RUN = "run_id, job_id, started_at, duration_ms, status, error"
@@ -36,7 +36,7 @@ def recent_job_runs(spark, sf_dir):
   status AS latest_status, started_at AS latest_started_at, duration_ms AS latest_duration_ms
 FROM customer LEFT JOIN (SELECT * FROM ({_LATEST}) WHERE rn = 1) l ON l.job_id = c_custkey""")
 def jobs_latest(spark, sf_dir):
-    jobs = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+    jobs = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("job_id"), F.col("c_mktsegment").alias("name"))
     return runs.jobs_with_latest(jobs, _runs(spark, sf_dir))
 
@@ -95,7 +95,7 @@ def run_health(spark, sf_dir):
     counters |= {"tables_added": F.col("event_id") % 3, "columns_modified": F.col("event_id") % 5}
     skipped = F.col("event_id") % 4
     errors = F.when(skipped > 0, F.array(F.lit("rejected"))).otherwise(F.array().cast("array<string>"))
-    history = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    history = table(spark, sf_dir, "events").select(
         F.concat(F.lit("conn-"), (F.col("user_id") % 10).cast("string")).alias("connector_id"),
         F.when(ok, F.struct(*[c.alias(n) for n, c in counters.items()])).alias("diff"),
         F.when(ok, F.struct(skipped.alias("skipped"), errors.alias("errors"))).alias("ingestion_result"))

@@ -10,12 +10,14 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakemeta.sources.files import read_table
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def pick(index: str, items: list[str | None]) -> str:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lakemeta.model import EDGE_KEY
-from lakemeta.operators.lineage import dedup_edges, with_app_bucket
+from lakemeta.operators.joins import exclude_present
+from lakemeta.operators.lineage import with_app_bucket
 from lakemeta.streaming import batches
 
 _EDGES = ", ".join(f"{c} STRING" for c in EDGE_KEY)
 _COUNTS = "app_bucket STRING, source_type STRING, unique_edges BIGINT"
-_RAW = "raw_edges BIGINT"
+_ARRIVED = f"{_EDGES}, copies BIGINT"
 
 
 def dedup_edge_stream(stream: DataFrame, arrival: str | None = None, delay: str = "1 day") -> DataFrame:
@@ -31,18 +32,21 @@ def collect_edges(stream: DataFrame, store: str, checkpoint: str) -> StreamingQu
     """Keeps the table of unique edges, and their counts, current until the source is drained.
 
     A micro-batch first shrinks to its distinct edges map-side — one edge on a third of the rows
-    costs one row per task — and then to those the table lacks.
+    costs one row per task — and is written. From then on its size is known, so while it is small
+    the table of known edges is scanned for it and not shuffled.
     """
     spark = stream.sparkSession
-    for name, schema in (("edges", _EDGES), ("counts", _COUNTS), ("raw", _RAW)):
+    for name, schema in (("arrived", _ARRIVED), ("edges", _EDGES), ("counts", _COUNTS)):
         batches.create(spark, f"{store}/{name}", schema)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
+        copies = batch.groupBy(*EDGE_KEY).agg(F.count("*").alias("copies"))
+        batches.write(copies, f"{store}/arrived", batch_id)
+        arrived = batches.read(session, f"{store}/arrived", _ARRIVED, only=batch_id)
         known = batches.read(session, f"{store}/edges", _EDGES, before=batch_id)
-        fresh = dedup_edges(batch.select(*EDGE_KEY)).join(known.select(*EDGE_KEY), EDGE_KEY, "left_anti")
+        fresh = exclude_present(arrived.select(*EDGE_KEY), known, EDGE_KEY)
         batches.write(fresh, f"{store}/edges", batch_id)
-        batches.write(batch.agg(F.count("*").alias("raw_edges")), f"{store}/raw", batch_id)
         written = batches.read(session, f"{store}/edges", _EDGES, only=batch_id)
         counts = with_app_bucket(written.select(*EDGE_KEY)).groupBy("app_bucket", "source_type").agg(
             F.count("*").alias("unique_edges"))
@@ -63,5 +67,5 @@ def read_lineage_counts(spark: SparkSession, store: str) -> DataFrame:
 
 
 def read_raw_count(spark: SparkSession, store: str) -> DataFrame:
-    return batches.read(spark, f"{store}/raw", _RAW).agg(
-        F.coalesce(F.sum("raw_edges"), F.lit(0).cast("bigint")).alias("total_raw"))
+    return batches.read(spark, f"{store}/arrived", _ARRIVED).agg(
+        F.coalesce(F.sum("copies"), F.lit(0).cast("bigint")).alias("total_raw"))

@@ -40,6 +40,8 @@ def test_page(spark):
     df = spark.range(50)
     rows = paging.page(df, ["id"], limit=10, offset=45).collect()
     assert [(r.id, r.total_count) for r in rows] == [(i, 50) for i in range(45, 50)]
+    rows = paging.page(df, ["id"], limit=3, after=(44,)).collect()
+    assert [(r.id, r.total_count) for r in rows] == [(i, 50) for i in (45, 46, 47)]
     for limit, offset in ((0, 0), (10001, 0), (1, -1)):
         with pytest.raises(ValueError):
             paging.page(df, ["id"], limit, offset)

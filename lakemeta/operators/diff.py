@@ -191,13 +191,13 @@ class CatalogDiff(NamedTuple):
     summary: DataFrame
 
 
-def catalog_diff(old: Catalog, new: Catalog) -> CatalogDiff:
-    """All levels at once.
+def catalog_diff(old: Catalog, new: Catalog, fields: list[str] | None = None) -> CatalogDiff:
+    """All levels at once; ``fields`` replaces the list of compared column attributes.
 
     Every level above needs the changed columns and constraints, so those — and only the changed
     rows, a sliver of the catalogs — are written once and shared.
     """
-    changed = diff_columns(old.columns, new.columns).filter(F.col("status") != UNCHANGED)
+    changed = diff_columns(old.columns, new.columns, fields).filter(F.col("status") != UNCHANGED)
     columns = materialize(changed, "column-diff")
     constraints = materialize(diff_constraints(old, new), "constraint-diff")
     tables = diff_tables(old, new, columns, constraints)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakemeta.functions import fixed_values as fx
-from lakemeta.operators.catalog import latest_per_key
 
 RUN_STATUSES = ["RUNNING", "COMPLETED", "FAILED", "TIMED_OUT", "NO_CHANGES"]
 
@@ -23,8 +22,10 @@ def started(runs: DataFrame) -> Column:
 
 def latest_runs(runs: DataFrame, tie: str = "run_id") -> DataFrame:
     """Each job's newest run; among equal start times the first logged (smallest ``tie``)."""
-    keyed = runs.withColumn("_order", F.struct(started(runs).alias("s"), (-F.col(tie)).alias("t")))
-    return latest_per_key(keyed, ["job_id"], "_order").drop("_order")
+    rest = [c for c in runs.columns if c != "job_id"]
+    newest_first = F.struct((-F.unix_micros(started(runs).cast("timestamp"))).alias("age"), F.col(tie))
+    best = runs.groupBy("job_id").agg(F.min_by(F.struct(*rest), newest_first).alias("_best"))
+    return best.select("job_id", "_best.*").select(*runs.columns)
 
 
 def list_runs(runs: DataFrame, job_id=None, k: int = 20, tie: str = "run_id") -> DataFrame:
@@ -52,10 +53,11 @@ def recover_orphans(runs: DataFrame, as_of) -> DataFrame:
     lasted = millis(now) - millis(started(runs))
     changed = lambda name, value: F.when(stale, value).otherwise(
         F.col(name) if name in runs.columns else F.lit(None))
+    times = {f.name: f.dataType for f in runs.schema}
     updates = {
         "status": changed("status", F.lit("FAILED")),
         "error": changed("error", F.lit(fx.ORPHANED_RUN_ERROR)),
-        "completed_at": changed("completed_at", now),
+        "completed_at": changed("completed_at", now.cast(times.get("completed_at", times["started_at"]))),
         "duration_ms": changed("duration_ms", F.when(F.col("started_at").isNotNull(), lasted)
                                .otherwise(F.col("duration_ms")))}
     return runs.withColumns(updates)

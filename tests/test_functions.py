@@ -55,6 +55,12 @@ def test_every_listed_type_maps_to_its_family(apply):
     assert apply([n for n, _ in pairs], datatypes.map_data_type) == [f for _, f in pairs]
 
 
+def test_modifiers_can_be_extended(apply):
+    assert apply(["int compressed"], datatypes.map_data_type) == ["DTYPE-VARCHAR"]
+    more = [*fx.TYPE_MODIFIERS, "compressed"]
+    assert apply(["int compressed"], lambda c: datatypes.map_data_type(c, more)) == ["DTYPE-INTEGER"]
+
+
 def test_pii(apply):
     names = ["email", "password_hash", "SSN", "phone_number", "credit_card", "first_name", "created_at"]
     assert apply(names, datatypes.pii_indicator) == ["Y", "Y", "Y", "Y", "Y", "N", "N"]

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakemeta.operators import merge, payload, runs
 
@@ -92,6 +93,14 @@ def test_orphans(history):
     assert (rows[1].status, rows[1].error, rows[1].completed_at) == ("COMPLETED", None, None)
 
 
+def test_logged_runs_have_text_ids_and_times(history, spark):
+    logged = history.withColumn("run_id", F.concat(F.lit("r"), "run_id")).withColumn(
+        "completed_at", F.col("started_at"))
+    assert {r.job_id: r.run_id for r in runs.latest_runs(logged).collect()} == {"j": "r2", "k": "r4"}
+    closed = {r.run_id: r.completed_at for r in runs.recover_orphans(logged, "2024-01-02 00:00:01").collect()}
+    assert (closed["r2"], closed["r1"]) == ("2024-01-02 00:00:01", "2024-01-01T00:00:00Z")
+
+
 def test_outcomes(spark):
     df = spark.createDataFrame([(None, True), (None, False), ("Job timed out after 9s", None), ("boom", True)],
                                "error STRING, has_changes BOOLEAN")

@@ -195,12 +195,13 @@ def catalog_diff(old: Catalog, new: Catalog, fields: list[str] | None = None) ->
     """All levels at once; ``fields`` replaces the list of compared column attributes.
 
     Every level above needs the changed columns and constraints, so those — and only the changed
-    rows, a sliver of the catalogs — are written once and shared.
+    rows, a sliver of the catalogs — are written once and shared; so are the table statuses, which
+    schemas, summary, report and delta all read.
     """
     changed = diff_columns(old.columns, new.columns, fields).filter(F.col("status") != UNCHANGED)
     columns = materialize(changed, "column-diff")
     constraints = materialize(diff_constraints(old, new), "constraint-diff")
-    tables = diff_tables(old, new, columns, constraints)
+    tables = materialize(diff_tables(old, new, columns, constraints), "table-diff")
     return CatalogDiff(diff_schemas(old, new, tables), tables, columns, constraints,
                        diff_summary(tables, columns, constraints))
 

@@ -203,12 +203,19 @@ def repeated_ranges(source: DataFrame, sequences: Callable, payload: Callable, d
             .groupBy("doc_id", "key").agg(F.collect_set(reach).alias("ranges")))
 
 
+def recurring(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of windows with two places or more. Written out, so that a hot key's rows can still be
+    split in the join that follows."""
+    return saved(windows.groupBy(*keys).agg(F.sum("copies").alias("places")).filter("places >= 2").drop("places"),
+                 "recurring")
+
+
 def contested(distinct: DataFrame) -> DataFrame:
     """Blocks whose minimiser has other blocks too, with their number (``texts``).
 
     Only there can two different blocks share a window; a minimiser with one block is settled by its copies.
     """
-    shared = distinct.groupBy("m").agg(F.count("*").alias("texts")).filter("texts >= 2")
+    shared = saved(distinct.groupBy("m").agg(F.count("*").alias("texts")).filter("texts >= 2"), "shared")
     return distinct.join(shared, "m")
 
 

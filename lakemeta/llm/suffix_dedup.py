@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakemeta.llm.common import SECOND, Rolling, documents, ids_and_texts, mix, row_and
-from lakemeta.llm.repeats import contested, repeated_ranges, saved, text_and_ranges, with_ranges
+from lakemeta.llm.repeats import contested, recurring, repeated_ranges, saved, text_and_ranges, with_ranges
 
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
 _RUN, _PART = 1 << 20, 256
@@ -203,8 +203,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                    .select("m", "part", "parts", "b", "copies", "n", "payload")
                    .repartition("m", "part").sortWithinPartitions("m", "part"))
         found = saved(buckets.mapInArrow(sorted_buckets(length), FOUND), "suffixes")
-        repeated = (found.filter(F.col("kind") == CLASS).groupBy("m", "digest")
-                    .agg(F.sum("copies").alias("places")).filter("places >= 2"))
+        repeated = recurring(found.filter(F.col("kind") == CLASS), ["m", "digest"])
         runs = found.filter(F.col("kind") == RUN).select("m", "b", "t", "w")
         return runs.unionByName(found.filter(F.col("kind") == OPEN).join(repeated, ["m", "digest"], "left_semi")
                                 .select("m", "b", "t", "w"))

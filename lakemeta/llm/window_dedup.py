@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakemeta.llm.common import documents, ids_and_texts, row_and, word_hashes, word_spans
-from lakemeta.llm.repeats import contested, repeated_ranges, text_and_ranges, with_ranges
+from lakemeta.llm.repeats import contested, recurring, repeated_ranges, text_and_ranges, with_ranges
 
 _PIECE = 1 << 20
 
@@ -93,8 +93,7 @@ def _shared_windows(distinct: DataFrame) -> DataFrame:
 
     windows = contested(distinct).select("m", "b", "copies", "n", "payload").mapInArrow(
         each, "m BIGINT, b BIGINT, copies BIGINT, t INT, window BIGINT")
-    repeated = windows.groupBy("m", "window").agg(F.sum("copies").alias("places")).filter("places >= 2")
-    return (windows.filter("copies = 1").join(repeated, ["m", "window"], "left_semi")
+    return (windows.filter("copies = 1").join(recurring(windows, ["m", "window"]), ["m", "window"], "left_semi")
             .select("m", "b", "t", F.lit(1).alias("w")))
 
 

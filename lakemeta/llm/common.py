@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -139,3 +139,29 @@ def row_groups(offsets: np.ndarray, limit: int):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
         yield row, min(end, rows)
         row = min(end, rows)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` written in the order given, with ``place``, its row's number from 0.
+
+    Rows are counted per range partition; only those counts, one per partition, meet in one task.
+    """
+    rows = saved(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), name)
+    parts = rows.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("rows"))
+    before = parts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))
+    return (rows.withColumn("part", F.shiftright("at", 33)).join(before, "part")
+            .withColumn("place", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("at", "part", "before"))
+
+
+def running_total(df: DataFrame, order: list[str], amount: str, name: str) -> DataFrame:
+    """``df`` with ``before``: the sum of ``amount`` over all rows that come earlier in the order given.
+
+    As in ``numbered``, a window runs inside each range partition and over one row per partition.
+    """
+    rows = saved(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id())
+                 .withColumn("part", F.shiftright("at", 33)), name)
+    parts = rows.groupBy("part").agg(F.sum(amount).alias("all"))
+    before = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("earlier"))
+    inside = F.sum(amount).over(Window.partitionBy("part").orderBy("at")) - F.col(amount)
+    return (rows.withColumn("inside", inside).join(before, "part")
+            .withColumn("before", F.col("earlier") + F.col("inside")).drop("at", "part", "inside", "earlier"))

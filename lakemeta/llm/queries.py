@@ -7,13 +7,15 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakemeta.llm.bpe import op4_bpe_roundtrip
+from lakemeta.llm.mixing import op3_source_mix
 from lakemeta.llm.simhash import op8_simhash_dedup
 from lakemeta.llm.suffix_dedup import op2_suffix_dedup
 from lakemeta.llm.window_dedup import op1_window_dedup
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
-QUERIES = [op1_window_dedup, op2_suffix_dedup, op8_simhash_dedup]
+QUERIES = [op1_window_dedup, op2_suffix_dedup, op3_source_mix, op4_bpe_roundtrip, op8_simhash_dedup]
 ORACLES: dict[str, str] = {}
 
 

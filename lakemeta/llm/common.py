@@ -44,7 +44,8 @@ def null_safe(left: DataFrame, right: DataFrame, names: list[str], how: str) ->
     """Joins on ``names``, nulls matching nulls; the right side's copies are dropped."""
     renamed = right.select([F.col(c).alias(f"r_{c}") if c in names else F.col(c) for c in right.columns])
     on = [left[c].eqNullSafe(renamed[f"r_{c}"]) for c in names]
-    return left.join(renamed, on, how).drop(*[f"r_{c}" for c in names])
+    joined = left.join(renamed, on, how)
+    return joined if how == "left_semi" else joined.drop(*[f"r_{c}" for c in names])
 
 
 def row_and(df: DataFrame, more: str) -> StructType:

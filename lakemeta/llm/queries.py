@@ -12,11 +12,13 @@ from lakemeta.llm.mixing import op3_source_mix
 from lakemeta.llm.simhash import op8_simhash_dedup
 from lakemeta.llm.suffix_dedup import op2_suffix_dedup
 from lakemeta.llm.token_counts import op7_token_counts
+from lakemeta.llm.toxicity import op5_toxicity
 from lakemeta.llm.window_dedup import op1_window_dedup
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
-QUERIES = [op1_window_dedup, op2_suffix_dedup, op3_source_mix, op4_bpe_roundtrip, op7_token_counts, op8_simhash_dedup]
+QUERIES = [op1_window_dedup, op2_suffix_dedup, op3_source_mix, op4_bpe_roundtrip, op5_toxicity,
+           op7_token_counts, op8_simhash_dedup]
 ORACLES: dict[str, str] = {}
 
 

@@ -20,7 +20,7 @@ from lakemeta.llm.common import SECOND, Rolling, documents, ids_and_texts, mix,
 from lakemeta.llm.repeats import contested, recurring, repeated_ranges, saved, text_and_ranges, with_ranges
 
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
-_RUN, _PART = 1 << 20, 256
+_RUN, _PART = 1 << 20, 4096
 
 
 def byte_sequences(data: np.ndarray, offsets: np.ndarray):
@@ -137,8 +137,8 @@ RUN, CLASS, OPEN = 0, 1, 2
 
 
 def sorted_buckets(length: int):
-    """Per run of buckets: RUN rows (repeated windows of blocks that occur once); of buckets in parts
-    CLASS rows (digest, copies) and OPEN rows (windows whose class has to be added up first)."""
+    """Per run of buckets: RUN rows, the windows seen to be repeated, of blocks that occur once. For buckets
+    in parts, also CLASS rows (a repeated window's digest) and OPEN rows (a window still alone in its part)."""
     def each(batches):
         for table in whole_buckets(batches):
             m, b, part, parts, copies, n = (np.asarray(table.column(c)) for c in ("m", "b", "part", "parts", "copies", "n"))
@@ -154,7 +154,7 @@ def sorted_buckets(length: int):
             found = SuffixClasses(text, ends, position, bucket[row], length)
             places = np.bincount(found.rank, weights=copies[row], minlength=len(row)).astype(np.int64)
             split = parts[row] > 1
-            hit = ~split & (places[found.rank] >= 2) & (copies[row] == 1)
+            hit = (places[found.rank] >= 2) & (copies[row] == 1)
             new = hit.copy()
             new[1:] &= ~hit[:-1] | (row[1:] != row[:-1])
             old = hit.copy()
@@ -164,11 +164,11 @@ def sorted_buckets(length: int):
             yield _found(RUN, m[row[first]], b[row[first]], t[first], last - first + 1, none, none)
             if split.any():
                 digest = Rolling(_BYTE_VALUES[text], SECOND).slices(position, position + length).view(np.int64)
-                lead = np.flatnonzero(split)
+                lead = np.flatnonzero(split & (places[found.rank] >= 2))
                 lead = lead[np.unique(found.rank[lead], return_index=True)[1]]
                 none = np.zeros(len(lead), np.int64)
                 yield _found(CLASS, m[row[lead]], none, none, none, digest[lead], places[found.rank[lead]])
-                lone = np.flatnonzero(split & (copies[row] == 1))
+                lone = np.flatnonzero(split & (places[found.rank] == 1))
                 none = np.ones(len(lone), np.int64)
                 yield _found(OPEN, m[row[lone]], b[row[lone]], t[lone], none, digest[lone], none)
     return each
@@ -203,7 +203,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                    .select("m", "part", "parts", "b", "copies", "n", "payload")
                    .repartition("m", "part").sortWithinPartitions("m", "part"))
         found = saved(buckets.mapInArrow(sorted_buckets(length), FOUND), "suffixes")
-        repeated = recurring(found.filter(F.col("kind") == CLASS), ["m", "digest"])
+        repeated = recurring(found.filter(F.col("kind") != RUN), ["m", "digest"])
         runs = found.filter(F.col("kind") == RUN).select("m", "b", "t", "w")
         return runs.unionByName(found.filter(F.col("kind") == OPEN).join(repeated, ["m", "digest"], "left_semi")
                                 .select("m", "b", "t", "w"))

@@ -1,7 +1,7 @@
 """Toxicity scores from a small recurrent network, trained here in numpy.
 
 A word enters as its own vector (words seen often enough in training) joined with the mean vector of
-its character trigrams (all words). A gated recurrent network reads each window of words in both
+its character pieces, four bytes long (all words). A gated recurrent network reads each window of words in both
 directions, attention pools the states, a logistic unit scores the window. A text's score is the
 largest over its overlapping windows, which cover every word. Labels hold for whole texts, so training takes
 the best window of a toxic text, chosen anew every epoch, and random windows of the others.
@@ -9,53 +9,68 @@ the best window of a toxic text, chosen anew every epoch, and random windows of
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemeta.llm.common import documents, row_and, utf8
+from lakemeta.llm.common import documents, row_and, row_groups, utf8
 
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 64, 56
 _WORD_DIM = _CHAR_DIM = _STATE = 8
-_BUCKETS = 4096
+_BUCKET_BITS = 15
 _EDGES = ".,;:!?\"'`()[]{}<>#*$%&|/\\-_=+~^@…«»„“”‘’"
 _UNKNOWN = 0
+#: Gates that leave the state as it is: what a window reads past its text's end.
+_PADDING = np.concatenate([np.full((2, 1, _STATE), 30, np.float32), np.zeros((2, 1, 2 * _STATE), np.float32)], axis=2)
 
 
 def normalised(word: bytes) -> str:
     return word.decode("utf-8", "replace").lower().strip(_EDGES)
 
 
-def trigrams(word: str) -> list[int]:
-    """Buckets of the character trigrams of ``^word$``; long words are read whole."""
-    marked = f"^{word}$"
-    return [zlib.crc32(marked[i:i + 3].encode()) % _BUCKETS for i in range(max(1, len(marked) - 2))]
+def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the four-byte pieces of ``^word$$$``, all words end to end, and how many each has."""
+    marked = [b"^%s$$$" % w.encode() for w in words]
+    sizes = np.array([len(m) - 3 for m in marked], np.int64)
+    raw = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
+    starts = np.repeat(np.cumsum(sizes + 3) - (sizes + 3) - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    value = raw[starts] | raw[starts + 1] << np.uint32(8) | raw[starts + 2] << np.uint32(16) | raw[starts + 3] << np.uint32(24)
+    return ((value * np.uint32(2654435761)) >> np.uint32(32 - _BUCKET_BITS)).astype(np.int64), sizes
 
 
-class Lexicon:
-    """Numbers for distinct words, and what the network reads of each: a word id and trigram buckets."""
+class Numbers(dict):
+    """A number for each distinct word, in order of appearance."""
 
-    def __init__(self, word_ids: dict[str, int]):
-        self.word_ids = word_ids
-        self.numbers: dict[bytes, int] = {}
-        self.words, self.grams = [], []
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
 
-    def read(self, text: bytes) -> np.ndarray:
-        numbers = self.numbers
-        out = []
-        for word in text.split():
-            number = numbers.get(word)
-            if number is None:
-                number = numbers[word] = len(numbers)
-                plain = normalised(word)
-                self.words.append(self.word_ids.get(plain, _UNKNOWN))
-                self.grams.append(trigrams(plain))
-            out.append(number)
-        return np.array(out, np.int64)
+
+@dataclass
+class Words:
+    """What the network reads of some distinct words: ids of their own vectors, and their character pieces."""
+
+    ids: np.ndarray
+    flat: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[bytes], word_ids: dict[str, int]) -> Words:
+        plain = [normalised(w) for w in words]
+        return cls(np.array([word_ids.get(w, _UNKNOWN) for w in plain], np.int64), *gram_buckets(plain))
+
+    def some(self, chosen: np.ndarray) -> Words:
+        sizes = self.sizes[chosen]
+        shift = (np.cumsum(self.sizes) - self.sizes)[chosen] - (np.cumsum(sizes) - sizes)
+        return Words(self.ids[chosen], self.flat[np.repeat(shift, sizes) + np.arange(sizes.sum())], sizes)
+
+
+def numbered_words(text: bytes, numbers: Numbers) -> np.ndarray:
+    return np.array([numbers[w] for w in text.split()], np.int64)
 
 
 def window_starts(words: int) -> range:
@@ -86,29 +101,26 @@ class Network:
     def fresh(cls, word_ids: dict[str, int], seed: int = 7) -> Network:
         rng = np.random.default_rng(seed)
         size = _WORD_DIM + _CHAR_DIM
-        shapes = {"word": (len(word_ids) + 1, _WORD_DIM), "char": (_BUCKETS, _CHAR_DIM), "into": (2, size, 3 * _STATE),
+        shapes = {"word": (len(word_ids) + 1, _WORD_DIM), "char": (1 << _BUCKET_BITS, _CHAR_DIM), "into": (2, size, 3 * _STATE),
                   "bias": (2, 1, 3 * _STATE), "back": (2, _STATE, 3 * _STATE), "look": (2 * _STATE,), "out": (2 * _STATE,)}
         p = {k: rng.normal(0, 0.1 if k in ("word", "char") else 0.3, s).astype(np.float32) for k, s in shapes.items()}
         p["bias"][:] = 0
         return cls(word_ids, p | {"level": np.zeros(1, np.float32)})
 
-    def projected(self, words: np.ndarray, grams: list[list[int]]):
-        """What each word adds to the gates in each direction, (2, words + 1, 3 * state); the last row, for
-        padding, keeps the state as it is."""
-        sizes = np.array([len(g) for g in grams], np.int64)
-        flat = np.fromiter((b for g in grams for b in g), np.int64, int(sizes.sum()))
-        at = np.cumsum(sizes) - sizes
-        mean = np.add.reduceat(self.p["char"][flat], at, axis=0) / sizes[:, None] if len(sizes) else np.zeros((0, _CHAR_DIM), np.float32)
-        x = np.concatenate([self.p["word"][words], mean], axis=1).astype(np.float32)
-        gates = x @ self.p["into"] + self.p["bias"]
-        padding = np.zeros((2, 1, 3 * _STATE), np.float32)
-        padding[:, :, :_STATE] = 30
-        return np.concatenate([gates, padding], axis=1), x, flat, sizes
+    def projected(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """What each word adds to the gates in each direction, (2, words, 3 * state), and the words' vectors."""
+        mean = np.zeros((len(words.ids), _CHAR_DIM), np.float32)
+        if len(words.ids):
+            at = np.cumsum(words.sizes) - words.sizes
+            mean = np.add.reduceat(self.p["char"][words.flat], at, axis=0) / words.sizes[:, None]
+        x = np.concatenate([self.p["word"][words.ids], mean], axis=1).astype(np.float32)
+        return x @ self.p["into"] + self.p["bias"], x
 
     def run(self, gates: np.ndarray, index: np.ndarray, keep: bool = False):
         """Logits of windows ``index`` (rows of word numbers, -1 for padding)."""
         batch, steps = index.shape
         order = np.ascontiguousarray(index.T)
+        gates = np.concatenate([gates, _PADDING], axis=1)
         states = np.zeros((2, steps, batch, _STATE), np.float32)
         h = np.zeros((2, batch, _STATE), np.float32)
         kept = []
@@ -133,13 +145,14 @@ class Network:
         logits = pooled @ self.p["out"] + self.p["level"][0]
         return (logits, (order, kept, both, weight, pooled)) if keep else logits
 
-    def gradients(self, index: np.ndarray, words: np.ndarray, grams: list, target: np.ndarray, weight_of: np.ndarray):
+    def gradients(self, index: np.ndarray, words: Words, target: np.ndarray, weight_of: np.ndarray):
         """Gradients of the weighted log loss over a batch of windows."""
         unique, local = np.unique(index, return_inverse=True)
         local = local.reshape(index.shape)
         if unique[0] == -1:
             unique, local = unique[1:], local - 1
-        gates, x, flat, sizes = self.projected(words[unique], [grams[i] for i in unique.tolist()])
+        part = words.some(unique)
+        gates, x = self.projected(part)
         logits, (order, kept, both, weight, pooled) = self.run(gates, local, keep=True)
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         d = ((_sigmoid(logits) - target) * weight_of / weight_of.sum()).astype(np.float32)
@@ -151,7 +164,7 @@ class Network:
         g["look"] = np.einsum("tbk,tb->k", both, d_focus)
         d_both += d_focus[:, :, None] * self.p["look"]
         steps = len(order)
-        d_gates = np.zeros_like(gates)
+        d_steps = np.zeros((2, *order.shape, 3 * _STATE), np.float32)
         dh = np.zeros((2, order.shape[1], _STATE), np.float32)
         back = self.p["back"].transpose(0, 2, 1)
         for s in range(steps - 1, -1, -1):
@@ -164,14 +177,18 @@ class Network:
             g["back"] += h.transpose(0, 2, 1) @ du
             dh = dh * z + du @ back
             dx = np.concatenate([dz, dr, dn], axis=2)
-            np.add.at(d_gates[0], order[s], dx[0])
-            np.add.at(d_gates[1], order[steps - 1 - s], dx[1])
-        d_gates = d_gates[:, :-1]
+            d_steps[0, s], d_steps[1, steps - 1 - s] = dx[0], dx[1]
+        places = np.argsort(order, axis=None, kind="stable")
+        used, first = np.unique(order.ravel()[places], return_index=True)
+        d_gates = np.add.reduceat(d_steps.reshape(2, -1, 3 * _STATE)[:, places], first, axis=1)[:, used >= 0]
         g["bias"] = d_gates.sum(1, keepdims=True)
         g["into"] = x.T @ d_gates
         dx = (d_gates @ self.p["into"].transpose(0, 2, 1)).sum(0)
-        np.add.at(g["word"], words[unique], dx[:, :_WORD_DIM])
-        np.add.at(g["char"], flat, np.repeat(dx[:, _WORD_DIM:] / sizes[:, None], sizes, axis=0))
+        per_piece = np.repeat(dx[:, _WORD_DIM:] / part.sizes[:, None], part.sizes, axis=0)
+        for k in range(_WORD_DIM):
+            g["word"][:, k] = np.bincount(part.ids, dx[:, k], len(self.p["word"]))
+        for k in range(_CHAR_DIM):
+            g["char"][:, k] = np.bincount(part.flat, per_piece[:, k], 1 << _BUCKET_BITS)
         return g
 
 
@@ -198,19 +215,20 @@ def train(texts: list[bytes], labels: list[int], min_count: int = 3, most_words:
             counts[word] = counts.get(word, 0) + 1
     common = sorted((w for w, c in counts.items() if c >= min_count), key=lambda w: (-counts[w], w))[:most_words]
     network = Network.fresh({w: i + 1 for i, w in enumerate(common)}, seed)
-    lexicon, rng = Lexicon(network.word_ids), np.random.default_rng(seed)
-    windows = [windows_of(lexicon.read(t)) for t in texts]
-    words = np.array(lexicon.words, np.int64)
+    numbers, rng = Numbers(), np.random.default_rng(seed)
+    windows = [windows_of(numbered_words(t, numbers)) for t in texts]
+    words = Words.of(list(numbers), network.word_ids)
     labels = np.array(labels)
     toxic, fine = np.flatnonzero(labels == 1), np.flatnonzero(labels != 1)
+    pool = np.concatenate([windows[i] for i in toxic])
+    edges = np.cumsum([0, *(len(windows[i]) for i in toxic)])
     adam, done, epoch = Adam(network.p, rate), 0, 0
     while done < updates:
         chosen = {i: rng.integers(len(windows[i])) for i in toxic}
         if epoch >= 2:
-            gates = network.projected(words, lexicon.grams)[0]
-            for i in toxic:
-                if len(windows[i]) > 1:
-                    chosen[i] = int(np.argmax(network.run(gates, windows[i][:256])))
+            gates = network.projected(words)[0]
+            scores = np.concatenate([network.run(gates, part) for part in np.array_split(pool, len(pool) // 2048 + 1)])
+            chosen = {i: int(np.argmax(scores[a:b])) for i, a, b in zip(toxic, edges[:-1], edges[1:], strict=True)}
         picks = [(i, chosen[i]) for i in toxic] + [(i, k) for i in fine for k in rng.integers(len(windows[i]), size=min(2, len(windows[i])))]
         rng.shuffle(picks)
         weight = len(fine) / max(1, len(toxic))
@@ -218,28 +236,37 @@ def train(texts: list[bytes], labels: list[int], min_count: int = 3, most_words:
             part = picks[at:at + batch]
             index = np.stack([windows[i][k] for i, k in part])
             target = np.array([labels[i] for i, _ in part], np.float32)
-            adam.step(network.gradients(index, words, lexicon.grams, target, np.where(target == 1, min(weight, 4), 1).astype(np.float32)))
+            balance = np.where(target == 1, min(weight, 4), 1).astype(np.float32)
+            adam.step(network.gradients(index, words, target, balance))
             done += 1
         epoch += 1
     return network
 
 
-def score_texts(network: Network, lexicon: Lexicon, texts: list[bytes]) -> np.ndarray:
-    """Scores of texts, a few thousand windows at a time."""
-    windows = [windows_of(lexicon.read(t)) for t in texts]
-    owner = np.repeat(np.arange(len(texts)), [len(w) for w in windows])
-    index = np.concatenate(windows) if windows else np.zeros((0, WINDOW), np.int64)
-    best = np.full(len(texts), -np.inf, np.float32)
-    for at in range(0, len(index), 2048):
-        part = index[at:at + 2048]
-        unique, local = np.unique(part, return_inverse=True)
-        local = local.reshape(part.shape)
-        if len(unique) and unique[0] == -1:
-            unique, local = unique[1:], local - 1
-        gates = network.projected(np.array([lexicon.words[i] for i in unique.tolist()], np.int64),
-                                  [lexicon.grams[i] for i in unique.tolist()])[0]
-        np.maximum.at(best, owner[at:at + 2048], network.run(gates, local))
-    return _sigmoid(best.astype(np.float64))
+class Scorer:
+    """Scores texts, a few thousand windows at a time; what words add to the gates is worked out once."""
+
+    def __init__(self, network: Network, most_words: int = 150_000):
+        self.network, self.most = network, most_words
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.gates, self.known = Numbers(), np.zeros((2, 0, 3 * _STATE), np.float32), 0
+
+    def __call__(self, texts: list[bytes]) -> np.ndarray:
+        if len(self.numbers) > self.most:
+            self.forget()
+        windows = [windows_of(numbered_words(t, self.numbers)) for t in texts]
+        new = list(islice(reversed(self.numbers), len(self.numbers) - self.known))[::-1]
+        if new:
+            added = self.network.projected(Words.of(new, self.network.word_ids))[0].astype(np.float32)
+            self.gates, self.known = np.concatenate([self.gates, added], axis=1), len(self.numbers)
+        owner = np.repeat(np.arange(len(texts)), [len(w) for w in windows])
+        index = np.concatenate(windows) if windows else np.zeros((0, WINDOW), np.int64)
+        best = np.full(len(texts), -np.inf, np.float32)
+        for at in range(0, len(index), 2048):
+            np.maximum.at(best, owner[at:at + 2048], self.network.run(self.gates, index[at:at + 2048]))
+        return _sigmoid(best.astype(np.float64))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -278,18 +305,12 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = docs.sparkSession.sparkContext.broadcast(network)
 
     def each(batches):
-        lexicon = None
+        score = Scorer(model.value) if model.value else lambda texts: np.full(len(texts), constant)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             scores = []
-            for at in range(0, batch.num_rows, 64):
-                texts = [data[offsets[i]:offsets[i + 1]].tobytes() for i in range(at, min(at + 64, batch.num_rows))]
-                if model.value is None:
-                    scores.append(np.full(len(texts), constant))
-                    continue
-                if lexicon is None or len(lexicon.numbers) > 200_000:
-                    lexicon = Lexicon(model.value.word_ids)
-                scores.append(score_texts(model.value, lexicon, texts))
+            for low, high in row_groups(offsets, 1 << 20):
+                scores.append(score([data[offsets[i]:offsets[i + 1]].tobytes() for i in range(low, high)]))
             found = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("held_out"), pa.array(found, pa.float64())],
                                              names=["row", "held_out", "score"])

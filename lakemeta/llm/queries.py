@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakemeta.llm.bpe import op4_bpe_roundtrip
 from lakemeta.llm.mixing import op3_source_mix
+from lakemeta.llm.quality_rules import OP6_SQL, op6_quality_rules
 from lakemeta.llm.simhash import op8_simhash_dedup
 from lakemeta.llm.suffix_dedup import op2_suffix_dedup
 from lakemeta.llm.token_counts import op7_token_counts
@@ -18,8 +19,8 @@ from lakemeta.llm.window_dedup import op1_window_dedup
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 QUERIES = [op1_window_dedup, op2_suffix_dedup, op3_source_mix, op4_bpe_roundtrip, op5_toxicity,
-           op7_token_counts, op8_simhash_dedup]
-ORACLES: dict[str, str] = {}
+           op6_quality_rules, op7_token_counts, op8_simhash_dedup]
+ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL}
 
 
 def importable(spark: SparkSession) -> None:

@@ -13,14 +13,15 @@ from lakemeta.llm.quality_rules import OP6_SQL, op6_quality_rules
 from lakemeta.llm.simhash import op8_simhash_dedup
 from lakemeta.llm.suffix_dedup import op2_suffix_dedup
 from lakemeta.llm.token_counts import op7_token_counts
+from lakemeta.llm.topk_search import OP10_SQL, op10_topk_search
 from lakemeta.llm.toxicity import op5_toxicity
 from lakemeta.llm.window_dedup import op1_window_dedup
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 QUERIES = [op1_window_dedup, op2_suffix_dedup, op3_source_mix, op4_bpe_roundtrip, op5_toxicity,
-           op6_quality_rules, op7_token_counts, op8_simhash_dedup]
-ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL}
+           op6_quality_rules, op7_token_counts, op8_simhash_dedup, op10_topk_search]
+ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op10_topk_search": OP10_SQL}
 
 
 def importable(spark: SparkSession) -> None:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from lakemeta.llm.bpe import op4_bpe_roundtrip
+from lakemeta.llm.chat_tree import OP9_SQL, op9_chat_tree
+from lakemeta.llm.common import importable
 from lakemeta.llm.mixing import op3_source_mix
 from lakemeta.llm.quality_rules import OP6_SQL, op6_quality_rules
 from lakemeta.llm.simhash import op8_simhash_dedup
@@ -17,19 +19,9 @@ from lakemeta.llm.topk_search import OP10_SQL, op10_topk_search
 from lakemeta.llm.toxicity import op5_toxicity
 from lakemeta.llm.window_dedup import op1_window_dedup
 
-_ROOT = str(Path(__file__).resolve().parents[2])
-
 QUERIES = [op1_window_dedup, op2_suffix_dedup, op3_source_mix, op4_bpe_roundtrip, op5_toxicity,
-           op6_quality_rules, op7_token_counts, op8_simhash_dedup, op10_topk_search]
-ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op10_topk_search": OP10_SQL}
-
-
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver did, unless it was shipped otherwise."""
-    environment = spark.sparkContext.environment
-    paths = environment.get("PYTHONPATH", "").split(":")
-    if _ROOT not in paths:
-        environment["PYTHONPATH"] = ":".join([_ROOT, *filter(None, paths)])
+           op6_quality_rules, op7_token_counts, op8_simhash_dedup, op9_chat_tree, op10_topk_search]
+ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op9_chat_tree": OP9_SQL, "op10_topk_search": OP10_SQL}
 
 
 def _ready(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -40,7 +32,7 @@ def _ready(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: _ready(query) for query in QUERIES}
+    return {query.__name__: _ready(query) for query in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,18 +4,20 @@ Document rates should stay as close to 1 as the targets allow: minimise the sum
 source's documents, subject to sum(r * size) = target and r <= 3. The dual has one multiplier a
 source; its solution tilts rates exponentially, r = min(3, exp(lambda * size / scale)). Newton steps,
 kept inside a bracket, find all multipliers at once; a step is one grouped sum over the distinct
-(source, size) pairs. Rates then become whole copies by systematic rounding in size order, so a source
-misses its target by no more than about its largest document.
+(source, size) pairs. Rates then become whole copies, the largest documents first; what rounding them
+leaves over is made up for by smaller ones, so a source misses its target by about its smallest documents.
+One task sees a source's distinct sizes, never its documents.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakemeta.llm.common import WORD, documents, numbered, saved
 
-#: Rates are whole multiples of 2^-20, which makes rounding exact and reruns equal.
+#: Rates are whole multiples of 2^-20, so rounding is exact and reruns agree.
 _UNIT = 1 << 20
 _GROUP = 1 << 16
 _STEPS = 80
@@ -97,20 +99,33 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     duals = multipliers(sizes, source_targets(sizes, weights, most), most)
     rate = F.when(F.col("rate_log").isNull(), F.lit(float(most))).otherwise(
         F.least(F.lit(float(most)), F.exp(F.least(F.col("rate_log") * F.col("size"), F.lit(50.0)))))
-    rated = saved(sizes.join(duals, "sk").select(
-        "sk", "size", "source_size", "target", F.round(rate * _UNIT).cast("bigint").alias("rate"),
-        F.ceil(F.col("n") / _GROUP).cast("bigint").alias("parts")), "rates")
-
-    placed = rows.join(rated, ["sk", "size"]).withColumn("part", F.pmod("key", "parts"))
-    groups = placed.groupBy("sk", "size", "part").agg(F.count("*").alias("n"), F.first("rate").alias("rate"))
-    in_size_order = Window.partitionBy("sk").orderBy("size", "part")
-    before = F.sum(F.col("n") * F.col("rate")).over(in_size_order) - F.col("n") * F.col("rate")
+    rated = sizes.join(duals, "sk").select("sk", "size", "n", "source_size", "target", F.round(rate * _UNIT).cast("bigint").alias("rate"))
+    whole = saved(rated.groupBy("sk").applyInPandas(
+        lambda group: _whole_copies(group, most), "sk STRING, size BIGINT, n BIGINT, source_size BIGINT, target DOUBLE, taken BIGINT"
+    ).withColumn("parts", F.ceil(F.col("n") / _GROUP).cast("bigint")), "copies")
+
+    placed = rows.join(whole, ["sk", "size"]).withColumn("part", F.pmod("key", "parts"))
+    groups = placed.groupBy("sk", "size", "part").agg(F.count("*").alias("members"))
+    before = F.sum("members").over(Window.partitionBy("sk", "size").orderBy("part")) - F.col("members")
     groups = saved(groups.select("sk", "size", "part", before.alias("before")), "offsets")
-    rank = F.row_number().over(Window.partitionBy("sk", "size", "part").orderBy("key", "doc_id"))
-    upto = F.col("before") + rank * F.col("rate") + _UNIT // 2
-    copies = F.floor(upto / _UNIT) - F.floor((upto - F.col("rate")) / _UNIT)
-    return placed.join(groups, ["sk", "size", "part"]).select(
-        "doc_id", "key", "size", "source_size", "target", copies.alias("copies"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("sk", "size", "part").orderBy("key", "doc_id"))
+    upto = lambda count: F.floor(count * F.col("taken") / F.col("n"))
+    return placed.join(groups, ["sk", "size", "part"]).withColumn("place", place).select(
+        "doc_id", "key", "size", "source_size", "target", (upto(F.col("place")) - upto(F.col("place") - 1)).alias("copies"))
+
+
+def _whole_copies(group: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Copies of each size class of a source, ``taken`` for its ``n`` documents together. Large documents come first,
+    and the words that rounding gave or took are made up for by the smaller ones that follow."""
+    group = group.sort_values("size", ascending=False, kind="stable")
+    carried, taken = 0, []
+    for size, n, rate in zip(group["size"].tolist(), group["n"].tolist(), group["rate"].tolist(), strict=True):
+        wanted = n * rate * size + carried
+        unit = size * _UNIT
+        copies = min(most * n, max(0, (2 * wanted + unit) // (2 * unit))) if size else n
+        carried = wanted - copies * unit
+        taken.append(copies)
+    return group.drop(columns=["rate"]).assign(taken=taken)
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:

@@ -17,15 +17,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from lakemeta.llm.common import documents, saved, utf8
 
 WORD_BPE = "word_bpe_49k.json"
-_SLICE_BYTES, _MOST_SLICES = 1 << 26, 4096
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+_SLICE_BYTES, _MOST_SLICES = 1 << 25, 4096
 
 
 def tokenizer_path(name: str) -> str:
@@ -93,16 +95,15 @@ class Chunk:
         order = np.argsort(-often, kind="stable")
         rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words), dtype=np.uint32)
-        planes = 3 if len(words) < 1 << 24 else 4
-        docs = []
         for start in range(0, len(self.docs), 256):
             part = self.docs[start:start + 256]
-            docs = [rank[d].view(np.uint8).reshape(-1, 4)[:, :planes].T.tobytes() for d in part]
-            yield _chunk_rows(self.place, kind, self.rows[start:start + 256], docs, planes)
+            numbers = rank[np.concatenate(part)] if words else np.zeros(0, np.uint32)
+            yield _rows(self.place, kind, [None], [self.rows[start:start + 256]],
+                        [np.array([len(d) for d in part], np.uint32).tobytes()], [packed(numbers)])
         slice_of = np.array([zlib.crc32(w) for w in words], np.uint32) % np.uint32(slices)
         slice_of = slice_of[order].astype(np.uint16)
         ordered = [words[i] for i in order]
-        yield _word_rows(self.place, kind, [-1], [slice_of.tobytes()])
+        yield _rows(self.place, kind, [-1], [None], [None], [slice_of.tobytes()])
         members = np.argsort(slice_of, kind="stable")
         ends = np.searchsorted(slice_of[members], np.arange(slices), "right")
         begin = 0
@@ -110,24 +111,32 @@ class Chunk:
         for number, end in enumerate(ends.tolist()):
             if end > begin:
                 found.append(number)
-                blobs.append(b" ".join([ordered[i] for i in members[begin:end]]))
+                blobs.append(_ZIP.compress(b" ".join([ordered[i] for i in members[begin:end]])))
             begin = end
         if found:
-            yield _word_rows(self.place, kind, found, blobs)
+            yield _rows(self.place, kind, found, [None] * len(found), [None] * len(found), blobs)
 
 
-def _chunk_rows(place, kind, rows, docs, planes):
-    n = len(rows)
+def _rows(place, kind, slices, rows, sizes, blobs):
+    n = len(slices)
+    flat = pa.array([r for some in rows for r in some or ()], kind)
+    listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(some or ()) for some in rows)]), pa.int32()), flat)
     return pa.RecordBatch.from_arrays(
-        [pa.array([place] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.array([planes] * n, pa.int32()),
-         pa.array(rows, kind), pa.array(docs, pa.binary())], names=["chunk", "slice", "planes", "row", "blob"])
+        [pa.array([place] * n, pa.int64()), pa.array(slices, pa.int32()), listed, pa.array(sizes, pa.binary()),
+         pa.array(blobs, pa.binary())], names=["chunk", "slice", "rows", "sizes", "blob"])
 
 
-def _word_rows(place, kind, slices, blobs):
-    n = len(slices)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([place] * n, pa.int64()), pa.array(slices, pa.int32()), pa.nulls(n, pa.int32()),
-         pa.nulls(n, kind), pa.array(blobs, pa.binary())], names=["chunk", "slice", "planes", "row", "blob"])
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers as their lowest bytes, then the next ones and so on, compressed."""
+    return _ZIP.compress(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unzipped(blob: bytes) -> bytes:
+    return _UNZIP.decompress(blob)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unzipped(blob), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
 def encoded_words(name: str):
@@ -140,15 +149,15 @@ def encoded_words(name: str):
             for number, blob in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 if number != slice_now:
                     known, slice_now = {}, number
-                words = blob.split(b" ")
+                words = unzipped(blob).split(b" ")
                 new = list({w for w in words if w not in known})
                 for start in range(0, len(new), 20_000):
                     part = new[start:start + 20_000]
                     found = library.encode_batch([w.decode() for w in part], add_special_tokens=False)
                     known.update(zip(part, (np.array(e.ids, np.uint32).tobytes() for e in found), strict=True))
                 answers = [known[w] for w in words]
-                counts.append(np.array([len(a) // 4 for a in answers], np.uint32).tobytes())
-                ids.append(np.frombuffer(b"".join(answers), np.uint8).reshape(-1, 4).T.tobytes())
+                counts.append(packed(np.array([len(a) // 4 for a in answers], np.uint32)))
+                ids.append(packed(np.frombuffer(b"".join(answers), np.uint32)))
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("slice"), pa.array(counts, pa.binary()),
                                               pa.array(ids, pa.binary())], names=["chunk", "slice", "counts", "ids"])
     return each
@@ -160,9 +169,7 @@ def word_ids(answers: pa.Table) -> list[np.ndarray]:
     slice_of = np.frombuffer(found.pop(-1)[0], np.uint16)
     out = [None] * len(slice_of)
     for number, (counts, ids) in found.items():
-        sizes = np.frombuffer(counts, np.uint32)
-        flat = np.ascontiguousarray(np.frombuffer(ids, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-        ends = np.cumsum(sizes).tolist()
+        flat, ends = unpacked(ids), np.cumsum(unpacked(counts)).tolist()
         begin = 0
         for word, end in zip(np.flatnonzero(slice_of == number).tolist(), ends, strict=True):
             out[word] = flat[begin:end]
@@ -200,15 +207,15 @@ def coded(docs: DataFrame, name: str = WORD_BPE, text_col: str = "text", carry:
         if chunk.docs:
             yield from chunk.batches(kind, slices)
 
-    shape = StructType([*StructType.fromDDL("chunk BIGINT, slice INT, planes INT").fields, source.schema["row"],
-                        *StructType.fromDDL("blob BINARY").fields])
-    shape["row"].nullable = True
+    shape = StructType([*StructType.fromDDL("chunk BIGINT, slice INT").fields,
+                        StructField("rows", ArrayType(source.schema["row"].dataType)),
+                        *StructType.fromDDL("sizes BINARY, blob BINARY").fields])
     chunks = saved(source.mapInArrow(chunked, shape), "chunks")
     words = chunks.filter("slice >= 0").select("chunk", "slice", "blob")
     answers = words.repartition("slice").sortWithinPartitions("slice").mapInArrow(
         encoded_words(name), "chunk BIGINT, slice INT, counts BINARY, ids BINARY")
     header = chunks.filter("slice = -1").select("chunk", "slice", F.col("blob").alias("counts"), F.lit(None).cast("binary").alias("ids"))
-    texts = chunks.filter("slice IS NULL").select("chunk", "planes", "row", "blob")
+    texts = chunks.filter("slice IS NULL").select("chunk", "rows", "sizes", "blob")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, table = word_ids(right), pieces(name)
@@ -217,22 +224,22 @@ def coded(docs: DataFrame, name: str = WORD_BPE, text_col: str = "text", carry:
         sizes = np.array([len(x) for x in ids], np.int64)
         silent = bool((sizes == 0).any())
         counts, first, second = [], [], []
-        for blob, planes in zip(left.column("blob").to_pylist(), left.column("planes").to_pylist(), strict=True):
-            wide = np.zeros((len(blob) // planes, 4), np.uint8)
-            wide[:, :planes] = np.frombuffer(blob, np.uint8).reshape(planes, -1).T
-            numbers = wide.view(np.uint32).ravel()
-            if silent:
-                numbers = numbers[sizes[numbers] > 0]
-            counts.append(int(sizes[numbers].sum()))
-            places = numbers.tolist()
-            text = " ".join([piece_texts[i] for i in places])
-            if digests:
-                first.append(hashlib.sha256(" ".join([id_texts[i] for i in places]).encode()).hexdigest())
-                second.append(hashlib.sha256(text.encode()).hexdigest())
-            else:
-                first.append(np.concatenate([ids[i] for i in places]).astype(np.int32) if places else np.zeros(0, np.int32))
-                second.append(text)
-        return pa.table({"row": left.column("row"), "n_tokens": pa.array(counts, pa.int64()),
+        for lengths, blob in zip(left.column("sizes").to_pylist(), left.column("blob").to_pylist(), strict=True):
+            ends = np.cumsum(np.frombuffer(lengths, np.uint32))
+            for numbers in np.split(unpacked(blob), ends[:-1]):
+                if silent:
+                    numbers = numbers[sizes[numbers] > 0]
+                counts.append(int(sizes[numbers].sum()))
+                places = numbers.tolist()
+                text = " ".join([piece_texts[i] for i in places])
+                if digests:
+                    first.append(hashlib.sha256(" ".join([id_texts[i] for i in places]).encode()).hexdigest())
+                    second.append(hashlib.sha256(text.encode()).hexdigest())
+                else:
+                    first.append(np.concatenate([ids[i] for i in places]).astype(np.int32) if places else np.zeros(0, np.int32))
+                    second.append(text)
+        rows = left.column("rows").combine_chunks()
+        return pa.table({"row": (rows if isinstance(rows, pa.Array) else rows.chunk(0)).flatten(), "n_tokens": pa.array(counts, pa.int64()),
                          names[0]: pa.array(first, pa.string() if digests else pa.list_(pa.int32())),
                          names[1]: pa.array(second, pa.string())})
 

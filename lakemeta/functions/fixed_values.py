@@ -104,3 +104,7 @@ SERVICE_ERROR_MASKS = [
     (r":[^@/]+@", ":*****@"),
 ]
 MISSING_ERROR = "Unknown error"
+
+# What a run that timed out is marked with; the seconds stand between the two parts.
+TIMED_OUT = "TIMED_OUT"
+TIMEOUT_ERROR = ("Job timed out after ", "s")

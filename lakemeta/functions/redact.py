@@ -9,24 +9,18 @@ from pyspark.sql import functions as F
 
 from lakemeta.functions import fixed_values as fx
 
-# Private-use characters that bracket a match: start, end of key, end of value.
-_OPEN, _KEY_END, _CLOSE = "\ue000", "\ue001", "\ue002"
-
 
 def _mask_key(text: Column, key: str) -> Column:
-    """Masks ``key=value`` / ``key: value``.
+    """Masks ``key=value`` / ``key: value``; a value ends at white space.
 
-    What replaces a match depends on the match (an ``@`` makes it a URL password, a ``=`` decides
-    the separator), which a replacement string cannot express. So one pass brackets every match and
-    three more rewrite the brackets by content.
+    What replaces a match depends on the match: an ``@`` makes it a URL password, a ``=`` decides the
+    separator. Three replacements take the three kinds one after the other. A value without ``@`` must
+    reach up to white space, so none takes up again what an earlier one has put there.
     """
-    inside = f"[^{_CLOSE}]*"
-    marked = F.regexp_replace(text, rf"(?i)({key})([=:]\s*\S+)", f"{_OPEN}$1{_KEY_END}$2{_CLOSE}")
-    marked = F.regexp_replace(marked, f"{_OPEN}[^{_CLOSE}@]*@{inside}{_CLOSE}", f":{fx.MASK}@")
-    marked = F.regexp_replace(
-        marked, f"{_OPEN}([^{_KEY_END}]*){_KEY_END}[^{_CLOSE}=]*={inside}{_CLOSE}", f"$1={fx.MASK}")
-    return F.regexp_replace(
-        marked, f"{_OPEN}([^{_KEY_END}]*){_KEY_END}{inside}{_CLOSE}", f"$1:{fx.MASK}")
+    end = r"(?=\s|$)"
+    text = F.regexp_replace(text, rf"(?i){key}[=:]\s*[^\s@]*@\S*", f":{fx.MASK}@")
+    text = F.regexp_replace(text, rf"(?i)({key})(?:=\s*[^\s@]+|:\s*[^\s@=]*=[^\s@]*){end}", f"$1={fx.MASK}")
+    return F.regexp_replace(text, rf"(?i)({key}):\s*[^\s@=]+{end}", f"$1:{fx.MASK}")
 
 
 def redact_credentials(df: DataFrame, column: str, bearer_first: bool = True) -> DataFrame:
@@ -36,16 +30,18 @@ def redact_credentials(df: DataFrame, column: str, bearer_first: bool = True) ->
     x`` keeps ``x``: the key rule takes the word ``Bearer`` for the value. Both orders agree on all
     other text.
 
-    Each rule is its own projection behind a test for its key, so a text pays one scan per absent
-    key; a text without any key passes through untouched.
+    One combined test finds the texts that hold any key at all; only those go through the rules, each
+    its own projection behind a test for its key. A text without any key is scanned once.
     """
     bearer = [(r"(?i)bearer\s", lambda c: F.regexp_replace(c, fx.BEARER_PATTERN, f"Bearer {fx.MASK}"))]
     keys = [(f"(?i){key}[=:]", lambda c, key=key: _mask_key(c, key)) for key in fx.SECRET_KEYS]
     url = [(fx.URL_PASSWORD_PATTERN, lambda c: F.regexp_replace(c, fx.URL_PASSWORD_PATTERN, f":{fx.MASK}@"))]
+    anything = "|".join(["bearer\\s", f"(?:{'|'.join(fx.SECRET_KEYS)})[=:]", fx.URL_PASSWORD_PATTERN])
+    df = df.withColumn("_suspect", F.col(column).rlike(f"(?i){anything}"))
     for pattern, rule in (bearer + keys if bearer_first else keys + bearer) + url:
         text = F.col(column)
-        df = df.withColumn(column, F.when(text.rlike(pattern), rule(text)).otherwise(text))
-    return df
+        df = df.withColumn(column, F.when(F.col("_suspect") & text.rlike(pattern), rule(text)).otherwise(text))
+    return df.drop("_suspect")
 
 
 def redact_http_body(df: DataFrame, column: str) -> DataFrame:

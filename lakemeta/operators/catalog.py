@@ -84,7 +84,7 @@ def fresh_snapshots(snapshots: DataFrame, as_of, ttl_hours: float = DEFAULT_TTL_
     return latest_snapshots(known)
 
 
-def retain_newest(snapshots: DataFrame, n: int = DEFAULT_RETAINED) -> DataFrame:
+def retain_newest(snapshots: DataFrame, n: int) -> DataFrame:
     """The ``n`` newest snapshots overall; the oldest are the ones to evict."""
     order = [F.col("discovered_at").desc(), F.col("snapshot_id").desc()]
     return snapshots.orderBy(*order).limit(n)

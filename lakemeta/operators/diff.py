@@ -100,8 +100,11 @@ def status_counts(diff: DataFrame) -> DataFrame:
 # --- catalogs --------------------------------------------------------------------------------
 
 def diff_columns(old: DataFrame, new: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """Column statuses with field changes, matched by name within the table."""
-    return snapshot_diff(old, new, COLUMN_KEY, fields or fx.COMPARED_COLUMN_FIELDS)
+    """Column statuses with field changes, matched by name within the table; of a repeated name the row of
+    the highest ordinal counts."""
+    fields = fields or fx.COMPARED_COLUMN_FIELDS
+    ordered = all("ordinal_position" in side.columns for side in (old, new))
+    return snapshot_diff(old, new, COLUMN_KEY, fields, "ordinal_position" if ordered else None)
 
 
 def _sorted_list(name: str) -> Column:
@@ -111,13 +114,15 @@ def _sorted_list(name: str) -> Column:
 def diff_constraints(old: Catalog, new: Catalog) -> DataFrame:
     """Added, dropped and modified keys and indexes (``kind`` PK, FK or INDEX).
 
-    Column order never counts, nor does a primary key's name or a re-pairing of FK columns.
+    Column order never counts, nor does a primary key's name or a re-pairing of FK columns. Of a repeated
+    name the largest definition counts.
     """
     def compare(kind: str, old_df: DataFrame, new_df: DataFrame, name: str | None,
                 fields: dict[str, Column]) -> DataFrame:
         keys = [*TABLE_KEY, *([name] if name else [])]
-        shape = lambda df: df.select(*keys, *[c.alias(f) for f, c in fields.items()])
-        statuses = diff_status(shape(old_df), shape(new_df), keys, list(fields))
+        shape = lambda df: df.select(*keys, *[c.alias(f) for f, c in fields.items()]).withColumn(
+            "_order", F.struct(*fields))
+        statuses = diff_status(shape(old_df), shape(new_df), keys, list(fields), "_order")
         return statuses.filter(F.col("status") != UNCHANGED).select(
             *TABLE_KEY, F.lit(kind).alias("kind"),
             (F.col(name) if name else F.lit(None).cast("string")).alias("name"),

@@ -169,20 +169,20 @@ def flag_pk_columns(columns: DataFrame, primary_keys: DataFrame) -> DataFrame:
 # --- whole catalogs --------------------------------------------------------------------------
 
 def build_catalog(raw: RawMetadata, schemas: DataFrame,
-                  max_schemas: int = fx.MAX_SCHEMAS,
-                  max_tables: int = fx.MAX_TABLES_PER_SCHEMA,
-                  max_columns: int = fx.MAX_COLUMNS_PER_TABLE) -> Catalog:
-    """Catalog of the given schemas, within the discovery limits (first N in name order, columns in
-    ordinal order)."""
-    schemas = cap_per_group(schemas.select(*SCHEMA_KEY).distinct(), ["connector_id"],
-                            ["schema_name"], max_schemas)
-    tables = cap_per_group(
-        classify_tables(raw.tables).join(schemas, SCHEMA_KEY, "left_semi"),
-        SCHEMA_KEY, ["table_name"], max_tables)
+                  max_schemas: int | None = None, max_tables: int | None = None,
+                  max_columns: int | None = None) -> Catalog:
+    """Catalog of the given schemas: all of it, unless the caller asks for the first N schemas of a
+    connector, tables of a schema (in name order) or columns of a table (in ordinal order)."""
+    def first(df: DataFrame, keys: list[str], order: list[str], n: int | None) -> DataFrame:
+        return df if n is None else cap_per_group(df, keys, order, n)
+
+    schemas = first(schemas.select(*SCHEMA_KEY).distinct(), ["connector_id"], ["schema_name"], max_schemas)
+    tables = first(classify_tables(raw.tables).join(schemas, SCHEMA_KEY, "left_semi"),
+                   SCHEMA_KEY, ["table_name"], max_tables)
     within = lambda df: df.join(tables.select(*TABLE_KEY), TABLE_KEY, "left_semi")
     keys = assemble_primary_keys(within(raw.primary_keys))
-    columns = cap_per_group(normalize_columns(within(raw.columns)), TABLE_KEY,
-                            ["ordinal_position", "column_name"], max_columns)
+    columns = first(normalize_columns(within(raw.columns)), TABLE_KEY,
+                    ["ordinal_position", "column_name"], max_columns)
     return Catalog(
         schemas=schemas,
         tables=tables,
@@ -192,25 +192,30 @@ def build_catalog(raw: RawMetadata, schemas: DataFrame,
         indexes=assemble_indexes(within(raw.index_info)))
 
 
-def nest_tables(catalog: Catalog, max_columns: int = fx.MAX_COLUMNS_PER_TABLE) -> DataFrame:
+def nest_tables(catalog: Catalog, columns_per_part: int = fx.MAX_COLUMNS_PER_TABLE) -> DataFrame:
     """One row per table holding its columns, key, foreign keys and indexes.
 
-    Nesting stops at table grain, where the column limit bounds every list; schemas and databases
-    stay ordinary groupings of these rows.
+    A table whose ordinals pass ``columns_per_part`` has further rows, numbered by ``part``, with the
+    columns of those ordinals and nothing else; every column is in exactly one part. Nesting stops at
+    table grain; schemas and databases stay ordinary groupings of these rows.
     """
-    def members(df: DataFrame, name: str, *order: str) -> DataFrame:
-        fields = [*order, *[c for c in df.columns if c not in TABLE_KEY and c not in order]]
-        return df.groupBy(*TABLE_KEY).agg(_in_order(*fields).alias(name))
-
-    columns = cap_per_group(catalog.columns, TABLE_KEY, ["ordinal_position", "column_name"],
-                            max_columns)
+    def members(df: DataFrame, name: str, *order: str, by: tuple[str, ...] = ()) -> DataFrame:
+        fields = [*order, *[c for c in df.columns if c not in (*TABLE_KEY, *order, *by)]]
+        return df.groupBy(*TABLE_KEY, *by).agg(_in_order(*fields).alias(name))
+
+    part = F.greatest(F.floor((F.coalesce("ordinal_position", F.lit(1)) - 1) / columns_per_part), F.lit(0)).cast("int")
+    columns = members(catalog.columns.withColumn("part", part), "columns", "ordinal_position", "column_name", by=("part",))
+    first = columns.filter("part = 0").drop("part")
+    further = catalog.tables.join(columns.filter("part > 0"), TABLE_KEY)
     primary = catalog.primary_keys.select(
         *TABLE_KEY, F.struct("constraint_name", "columns").alias("primary_key"))
     nested = (catalog.tables
-              .join(members(columns, "columns", "ordinal_position", "column_name"), TABLE_KEY, "left")
+              .withColumn("part", F.lit(0))
+              .join(first, TABLE_KEY, "left")
               .join(primary, TABLE_KEY, "left")
               .join(members(catalog.foreign_keys, "foreign_keys", "constraint_name"), TABLE_KEY, "left")
-              .join(members(catalog.indexes, "indexes", "index_name"), TABLE_KEY, "left"))
+              .join(members(catalog.indexes, "indexes", "index_name"), TABLE_KEY, "left")
+              .unionByName(further, allowMissingColumns=True))
     for name in ("columns", "foreign_keys", "indexes"):
         nested = nested.withColumn(name, F.coalesce(F.col(name), F.array()))
     return nested

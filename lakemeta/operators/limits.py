@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this N Catalyst already trims each group before the shuffle (WindowGroupLimit).
-_TRIMMED_BY_CATALYST = 1000
+# Up to the N of this setting Catalyst itself trims each group before the shuffle.
+_TRIMMED_BY_CATALYST = "spark.sql.optimizer.windowGroupLimitThreshold"
 _SALTS = 64
 
 
@@ -21,7 +21,7 @@ def cap_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFr
         rank = F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
         return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
-    if n <= _TRIMMED_BY_CATALYST:
+    if n <= int(df.sparkSession.conf.get(_TRIMMED_BY_CATALYST)):
         return trim(df, keys)
     salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys] or keys), F.lit(_SALTS))
     salted = trim(df.withColumn("_salt", salt), [*keys, "_salt"]).drop("_salt")

@@ -94,7 +94,12 @@ def _rank_of(kind: Column, ranking: list[str]) -> Column:
     rank = F
     for position, name in enumerate(ranking):
         rank = rank.when(kind == name, F.lit(position))
-    return rank.otherwise(F.lit(len(ranking)))
+    return rank.otherwise(_unknown(kind))
+
+
+def _unknown(kind: Column) -> Column:
+    """Fails the query: an edge of a kind that nothing ranks or counts would silently distort the result."""
+    return F.raise_error(F.concat(F.lit("unknown edge kind: "), F.coalesce(kind, F.lit("null")))).cast("int")
 
 
 def winner_edges(edges: DataFrame, weights: dict[str, int] | None = None,
@@ -102,7 +107,8 @@ def winner_edges(edges: DataFrame, weights: dict[str, int] | None = None,
     """One edge per (source, target): the most trusted provider's first-seen edge.
 
     Weights are static, so trust becomes a small integer and the winner a plain ``min`` — a hash
-    aggregate over fixed-width buffers with map-side combine.
+    aggregate over fixed-width buffers with map-side combine. A kind without a weight is an error;
+    ``weights`` can name further kinds.
     """
     ranking = source_ranks(weights)
     ranked = edges.withColumn("_rank", _rank_of(F.col(KIND), ranking))
@@ -150,7 +156,8 @@ def lineage_summary(edges: DataFrame, order: str = "seq") -> DataFrame:
 
     A pair has at most five kinds, so all of a pair's kinds are folded into one row: without
     overrides a bitmask (cross-application then depends on the pair alone), with overrides one
-    ``min(seq, cross)`` per kind packed in a long, which is the first-seen edge's flag.
+    ``min(seq, cross)`` per kind packed in a long, which is the first-seen edge's flag. An edge of a
+    sixth kind is an error.
     """
     bits = {kind: 1 << i for i, kind in enumerate(SUMMARY_KINDS)}
     has_override = {"source_app_pid", "target_app_pid"} & set(edges.columns)
@@ -158,7 +165,7 @@ def lineage_summary(edges: DataFrame, order: str = "seq") -> DataFrame:
         mask = F
         for kind, bit in bits.items():
             mask = mask.when(F.col(KIND) == kind, F.lit(bit))
-        pairs = (edges.select(*EDGE_PAIR, mask.otherwise(F.lit(0)).alias("_bit"))
+        pairs = (edges.select(*EDGE_PAIR, mask.otherwise(_unknown(F.col(KIND))).alias("_bit"))
                  .groupBy(*EDGE_PAIR)
                  .agg(F.count("*").alias("_raw"), F.bit_or("_bit").alias("_kinds")))
         cross = pids.is_cross_app(*_apps(pairs))
@@ -169,8 +176,9 @@ def lineage_summary(edges: DataFrame, order: str = "seq") -> DataFrame:
         if order not in edges.columns:
             raise ValueError(f"application overrides need '{order}' to tell the first edge")
         packed = F.col(order) * 2 + pids.is_cross_app(*_apps(edges)).cast("int")
-        firsts = [F.min(F.when(F.col(KIND) == kind, packed)).alias(f"_{kind}") for kind in bits]
-        pairs = edges.groupBy(*EDGE_PAIR).agg(F.count("*").alias("_raw"), *firsts)
+        known = F.when(F.col(KIND).isin(SUMMARY_KINDS), packed).otherwise(_unknown(F.col(KIND)))
+        firsts = [F.min(F.when(F.col(KIND) == kind, F.col("_packed"))).alias(f"_{kind}") for kind in bits]
+        pairs = edges.withColumn("_packed", known).groupBy(*EDGE_PAIR).agg(F.count("*").alias("_raw"), *firsts)
         present = {kind: F.col(f"_{kind}").isNotNull() for kind in bits}
         crossing = {kind: F.coalesce(F.pmod(f"_{kind}", F.lit(2)) == 1, F.lit(False))
                     for kind in bits}

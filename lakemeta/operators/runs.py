@@ -29,10 +29,12 @@ def latest_runs(runs: DataFrame, tie: str = "run_id") -> DataFrame:
 
 
 def list_runs(runs: DataFrame, job_id=None, k: int = 20, tie: str = "run_id") -> DataFrame:
-    """The ``k`` newest runs, of all jobs or one; ``k`` is held to 1..100."""
+    """The ``k`` newest runs, of all jobs or one."""
+    if k < 1:
+        raise ValueError(f"k must be at least 1, not {k}")
     if job_id is not None:
         runs = runs.filter(F.col("job_id") == job_id)
-    return runs.orderBy(started(runs).desc(), F.col(tie)).limit(min(max(k, 1), 100))
+    return runs.orderBy(started(runs).desc(), F.col(tie)).limit(k)
 
 
 def jobs_with_latest(jobs: DataFrame, runs: DataFrame, tie: str = "run_id") -> DataFrame:
@@ -80,10 +82,11 @@ def run_status_mix(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def last_success(runs: DataFrame, key: str = "job_id") -> DataFrame:
-    """When each job or connector last succeeded; NO_CHANGES is a success."""
+    """When each job or connector last succeeded; NO_CHANGES is a success. Start times given as text are
+    compared as times; text that is no time counts as the epoch."""
     ok = F.col("status").isin("COMPLETED", "NO_CHANGES")
     return runs.groupBy(key).agg(
-        F.max(F.when(ok, F.col("started_at"))).alias("last_success_at"),
+        F.max(F.when(ok & F.col("started_at").isNotNull(), started(runs))).alias("last_success_at"),
         F.count_if(ok).alias("successes"), F.count("*").alias("runs"))
 
 
@@ -94,7 +97,8 @@ def duration_trend(runs: DataFrame, bucket: str = "day", key: str = "job_id",
     Runs are first reduced to one row per bucket; only those rows enter the per-job window, so its
     size follows calendar time, not the number of runs.
     """
-    start = F.date_trunc(bucket, "started_at").cast(runs.schema["started_at"].dataType)
+    kind = runs.schema["started_at"].dataType
+    start = F.date_trunc(bucket, started(runs)).cast("timestamp" if isinstance(kind, T.StringType) else kind)
     buckets = (runs.filter(F.col("duration_ms").isNotNull())
                .groupBy(key, start.alias("bucket"))
                .agg(F.count("*").alias("runs"), F.sum("duration_ms").alias("total_ms"),

@@ -109,31 +109,31 @@ def redacted_service(spark, sf_dir):
 
 # --- searches --------------------------------------------------------------------------------
 
-@query(f"""WITH c AS ({sql("catalog_columns_old")}) SELECT connector_id, schema_name, table_name,
+@query(f"""WITH c AS ({sql("catalog_columns_all")}) SELECT connector_id, schema_name, table_name,
   column_name, data_type, full_data_type FROM c
 WHERE connector_id = 'conn-3' AND regexp_matches(column_name, '.*_(id|AT)$', 'i')""")
 def search_columns(spark, sf_dir):
-    return catalog.search_columns(load(spark, sf_dir, "catalog_columns_old"), ".*_(id|AT)$", "conn-3")
+    return catalog.search_columns(load(spark, sf_dir, "catalog_columns_all"), ".*_(id|AT)$", "conn-3")
 
 
-@query(f"""WITH c AS ({sql("catalog_columns_old")}) SELECT connector_id, schema_name, table_name,
+@query(f"""WITH c AS ({sql("catalog_columns_all")}) SELECT connector_id, schema_name, table_name,
   column_name, data_type FROM c WHERE lower(schema_name) = 's42'""")
 def schema_filter(spark, sf_dir):
-    found = catalog.get_schema(load(spark, sf_dir, "catalog_columns_old"), "S42")
+    found = catalog.get_schema(load(spark, sf_dir, "catalog_columns_all"), "S42")
     return found.select(*COLUMN_KEY, "data_type")
 
 
-@query(f"""WITH c AS ({sql("catalog_columns_old")}) SELECT connector_id AS connector,
+@query(f"""WITH c AS ({sql("catalog_columns_all")}) SELECT connector_id AS connector,
   schema_name AS "schema", table_name AS "table", column_name AS "column", data_type AS "dataType",
   full_data_type AS "fullDataType", is_nullable AS nullable, is_primary_key AS "isPrimaryKey" FROM c""")
 def column_inventory(spark, sf_dir):
-    return catalog.column_inventory(load(spark, sf_dir, "catalog_columns_old"))
+    return catalog.column_inventory(load(spark, sf_dir, "catalog_columns_all"))
 
 
 _USING = " AND ".join(f"c.{k} = {{0}}.{k}" for k in ("connector_id", "schema_name", "table_name"))
 
 
-@query(f"""WITH c AS ({sql("catalog_columns_old")}), {parts.primary_keys("old")}, {parts.foreign_keys("old")},
+@query(f"""WITH c AS ({sql("catalog_columns_all")}), {parts.primary_keys("all")}, {parts.foreign_keys("all")},
 fm AS (SELECT {parts.T}, flatten(list(members)) AS members FROM fk GROUP BY {parts.T})
 SELECT c.connector_id, c.schema_name, c.table_name, c.ordinal_position, c.column_name, c.full_data_type,
   CASE WHEN is_nullable THEN 'YES' ELSE 'NO' END AS nullable,
@@ -168,7 +168,7 @@ def fresh_snapshots(spark, sf_dir):
 @query(f"""{ctes("snapshots")} SELECT {_SNAP} FROM snapshots
 ORDER BY discovered_at DESC, snapshot_id DESC LIMIT 100""")
 def retained_snapshots(spark, sf_dir):
-    return catalog.retain_newest(load(spark, sf_dir, "snapshots"))
+    return catalog.retain_newest(load(spark, sf_dir, "snapshots"), 100)
 
 
 @query(f"""{ctes("snapshots")}, conn AS (SELECT 'conn-' || CAST(c_custkey AS STRING) AS connector_id,

@@ -71,14 +71,14 @@ def normalized_columns(spark, sf_dir):
     return discovery.normalize_columns(load(spark, sf_dir, "raw_columns"))
 
 
-@query(f"""WITH {parts.primary_keys("old")}
+@query(f"""WITH {parts.primary_keys("all")}
 SELECT {parts.T}, constraint_name, cols AS columns FROM pk""")
 def primary_keys(spark, sf_dir):
-    assembled = discovery.assemble_primary_keys(load(spark, sf_dir, "raw_primary_keys_old"))
+    assembled = discovery.assemble_primary_keys(load(spark, sf_dir, "raw_primary_keys_all"))
     return assembled.withColumn("columns", F.array_join("columns", ","))
 
 
-@query(f"""WITH {parts.primary_keys("old")}, c AS ({sql("columns_plain")})
+@query(f"""WITH {parts.primary_keys("all")}, c AS ({sql("columns_plain")})
 SELECT c.connector_id, c.schema_name, c.table_name, c.column_name, c.ordinal_position,
   coalesce(list_contains(pk.members, c.column_name), FALSE) AS is_primary_key
 FROM c LEFT JOIN pk ON c.connector_id = pk.connector_id AND c.schema_name = pk.schema_name
@@ -86,23 +86,23 @@ FROM c LEFT JOIN pk ON c.connector_id = pk.connector_id AND c.schema_name = pk.s
 def pk_flagged_columns(spark, sf_dir):
     columns = load(spark, sf_dir, "columns_plain").select(
         *COLUMN_KEY, "ordinal_position", F.lit(False).alias("is_primary_key"))
-    assembled = discovery.assemble_primary_keys(load(spark, sf_dir, "raw_primary_keys_old"))
+    assembled = discovery.assemble_primary_keys(load(spark, sf_dir, "raw_primary_keys_all"))
     return discovery.flag_pk_columns(columns, assembled)
 
 
-@query(f"""WITH {parts.foreign_keys("old")}
+@query(f"""WITH {parts.foreign_keys("all")}
 SELECT {parts.T}, constraint_name, cols AS columns, referenced_schema, referenced_table,
   ref_cols AS referenced_columns FROM fk""")
 def foreign_keys(spark, sf_dir):
-    assembled = discovery.assemble_foreign_keys(load(spark, sf_dir, "raw_imported_keys_old"))
+    assembled = discovery.assemble_foreign_keys(load(spark, sf_dir, "raw_imported_keys_all"))
     return (assembled.withColumn("columns", F.array_join("columns", ","))
             .withColumn("referenced_columns", F.array_join("referenced_columns", ",")))
 
 
-@query(f"""WITH {parts.indexes("old")}
+@query(f"""WITH {parts.indexes("all")}
 SELECT {parts.T}, index_name, cols AS columns, is_unique FROM ix""")
 def indexes(spark, sf_dir):
-    assembled = discovery.assemble_indexes(load(spark, sf_dir, "raw_index_info_old"))
+    assembled = discovery.assemble_indexes(load(spark, sf_dir, "raw_index_info_all"))
     return assembled.withColumn("columns", F.array_join("columns", ","))
 
 
@@ -125,10 +125,10 @@ def capped_tables(spark, sf_dir):
 _USING = " AND ".join(f"t.{c} = {{0}}.{c}" for c in TABLE_KEY)
 
 
-@query(f"""WITH {parts.primary_keys("old")}, {parts.foreign_keys("old")}, {parts.indexes("old")},
-t AS ({sql("catalog_tables_old")}), c AS (SELECT {parts.T}, count(*) AS n,
+@query(f"""WITH {parts.primary_keys("all")}, {parts.foreign_keys("all")}, {parts.indexes("all")},
+t AS ({sql("catalog_tables_all")}), c AS (SELECT {parts.T}, count(*) AS n,
   string_agg(column_name, ',' ORDER BY ordinal_position) AS names
-  FROM ({sql("catalog_columns_old")}) GROUP BY {parts.T}),
+  FROM ({sql("catalog_columns_all")}) GROUP BY {parts.T}),
 f AS (SELECT {parts.T}, count(*) AS n FROM fk GROUP BY {parts.T}),
 i AS (SELECT {parts.T}, count(*) AS n FROM ix GROUP BY {parts.T})
 SELECT t.connector_id, t.schema_name, t.table_name, t.table_type, coalesce(c.n, 0) AS n_columns,
@@ -146,7 +146,7 @@ def nested_tables(spark, sf_dir):
         size("foreign_keys").alias("n_foreign_keys"), size("indexes").alias("n_indexes"))
 
 
-@query(f"""WITH t AS ({sql("catalog_tables_old")}), c AS ({sql("catalog_columns_old")})
+@query(f"""WITH t AS ({sql("catalog_tables_all")}), c AS ({sql("catalog_columns_all")})
 SELECT t.connector_id, t.schema_name, t.table_name, t.table_type, c.column_name, c.ordinal_position,
   c.full_data_type FROM t JOIN c ON {_USING.format("c")}""")
 def flattened_columns(spark, sf_dir):
@@ -162,8 +162,8 @@ def _counted(source: str, column: str, condition: str = "TRUE") -> str:
     return f"SELECT connector_id, {cells} FROM {source} GROUP BY connector_id"
 
 
-@query(f"""WITH {parts.foreign_keys("old")}, {parts.indexes("old")}, t AS ({sql("catalog_tables_old")}),
-s AS (SELECT DISTINCT connector_id, schema_name FROM t), c AS ({sql("catalog_columns_old")}),
+@query(f"""WITH {parts.foreign_keys("all")}, {parts.indexes("all")}, t AS ({sql("catalog_tables_all")}),
+s AS (SELECT DISTINCT connector_id, schema_name FROM t), c AS ({sql("catalog_columns_all")}),
 u AS ({_counted("s", "schemas_found")} UNION ALL {_counted("t", "tables_found", "table_type = 'TABLE'")}
   UNION ALL {_counted("t", "views_found", "table_type = 'VIEW'")}
   UNION ALL {_counted("c", "columns_found")} UNION ALL {_counted("fk", "foreign_keys_found")}

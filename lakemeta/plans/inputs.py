@@ -10,7 +10,7 @@ from lakemeta.operators import discovery
 from lakemeta.plans.workloads import load
 
 
-def workload_catalog(spark: SparkSession, sf_dir: str, side: str = "old") -> Catalog:
+def workload_catalog(spark: SparkSession, sf_dir: str, side: str = "all") -> Catalog:
     tables = load(spark, sf_dir, f"catalog_tables_{side}")
     return Catalog(
         schemas=tables.select(*SCHEMA_KEY).distinct(),

@@ -145,10 +145,10 @@ def lineage_readable(spark, sf_dir):
     return lineage.readable_edges(lineage.dedup_edges(edges))
 
 
-_FK_PAIRS = f"""{ctes("raw_imported_keys_old")}, k AS (SELECT *,
+_FK_PAIRS = f"""{ctes("raw_imported_keys_all")}, k AS (SELECT *,
   coalesce(fk_name, 'FK_' || table_name || '_' || pktable_name) AS cname,
   coalesce(nullif(pktable_schem, ''), nullif(pktable_cat, ''), schema_name) AS rs
-  FROM raw_imported_keys_old), f AS (SELECT *, first_value(rs) OVER w AS ref_schema,
+  FROM raw_imported_keys_all), f AS (SELECT *, first_value(rs) OVER w AS ref_schema,
   first_value(pktable_name) OVER w AS ref_table FROM k
   WINDOW w AS (PARTITION BY connector_id, schema_name, table_name, cname ORDER BY seq))"""
 
@@ -158,7 +158,7 @@ SELECT fkcolumn_name || '@' || table_name || '@' || schema_name || '@' || connec
   pkcolumn_name || '@' || ref_table || '@' || ref_schema || '@' || connector_id AS target_element_pid,
   'FK' AS source_type FROM f""")
 def fk_edges(spark, sf_dir):
-    fks = discovery.assemble_foreign_keys(load(spark, sf_dir, "raw_imported_keys_old"))
+    fks = discovery.assemble_foreign_keys(load(spark, sf_dir, "raw_imported_keys_all"))
     return lineage.fk_edges(fks)
 
 
@@ -170,5 +170,5 @@ SELECT app AS application_pid, 'FK' AS lineage_source,
   upper(pkcolumn_name) || '@' || upper(ref_table) || '@' || upper(ref_schema) || '@' || app AS target_element_pid
 FROM j""")
 def fk_lineage_payload(spark, sf_dir):
-    fks = discovery.assemble_foreign_keys(load(spark, sf_dir, "raw_imported_keys_old"))
+    fks = discovery.assemble_foreign_keys(load(spark, sf_dir, "raw_imported_keys_all"))
     return lineage.fk_lineage_payload(fks, load(spark, sf_dir, "connectors"))

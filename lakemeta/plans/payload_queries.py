@@ -55,7 +55,7 @@ _ENTITY_TEXT = f"""concat_ws(' ', table_type, '~' || format('{{:,}}', estimated_
 def _containers(relation: str) -> str:
     return "SELECT {} FROM {}".format(_row(
         pid=_CONTAINER, kind="'container'", parent_pid="app", application_pid="app", name="schema_name",
-        description=f"coalesce(database_type, 'UNKNOWN') || ' ' || left({_VERSION}, 50) || ' — ' "
+        description=f"coalesce(database_type, 'UNKNOWN') || ' ' || {_VERSION} || ' — ' "
                     "|| schema_name || ' schema'",
         type_pid="'TYP-RDBMS'", server=f"'{fx.CONTAINER_SERVER}'"), _with_app(relation))
 
@@ -80,33 +80,33 @@ def _elements(columns: str, fks: str) -> str:
         _with_app(flagged))
 
 
-_OLD = f"""WITH connectors AS ({sql("connectors")}), t AS ({sql("catalog_tables_old")}),
-s AS (SELECT DISTINCT connector_id, schema_name FROM t), c AS ({sql("catalog_columns_old")}),
-{parts.foreign_keys("old")}"""
+_WHOLE = f"""WITH connectors AS ({sql("connectors")}), t AS ({sql("catalog_tables_all")}),
+s AS (SELECT DISTINCT connector_id, schema_name FROM t), c AS ({sql("catalog_columns_all")}),
+{parts.foreign_keys("all")}"""
 
 
 def _connectors(spark, sf_dir):
     return load(spark, sf_dir, "connectors")
 
 
-@query(f"{_OLD} {_containers('s')}")
+@query(f"{_WHOLE} {_containers('s')}")
 def container_rows(spark, sf_dir):
     connectors = _connectors(spark, sf_dir)
     return payload.container_rows(workload_catalog(spark, sf_dir).schemas, connectors, versions(connectors))
 
 
-@query(f"{_OLD} {_entities('t')}")
+@query(f"{_WHOLE} {_entities('t')}")
 def entity_rows(spark, sf_dir):
     return payload.entity_rows(workload_catalog(spark, sf_dir).tables, _connectors(spark, sf_dir))
 
 
-@query(f"{_OLD} SELECT {parts.T}, {_ENTITY_TEXT} AS description FROM t")
+@query(f"{_WHOLE} SELECT {parts.T}, {_ENTITY_TEXT} AS description FROM t")
 def entity_descriptions(spark, sf_dir):
-    return load(spark, sf_dir, "catalog_tables_old").select(*TABLE_KEY, entity_description(
+    return load(spark, sf_dir, "catalog_tables_all").select(*TABLE_KEY, entity_description(
         "table_type", "estimated_row_count", "size_bytes", "table_comment").alias("description"))
 
 
-@query(f"{_OLD} {_elements('c', 'fk')}")
+@query(f"{_WHOLE} {_elements('c', 'fk')}")
 def element_payloads(spark, sf_dir):
     cat = workload_catalog(spark, sf_dir)
     return payload.element_rows(cat.columns, cat.foreign_keys, _connectors(spark, sf_dir))
@@ -141,9 +141,8 @@ def delta_result(spark, sf_dir):
     return payload.delta_result(delta_ops(spark, sf_dir))
 
 
-_GONE = """EXISTS (SELECT 1 FROM td WHERE td.st = 'dropped' AND td.connector_id = x.connector_id
-  AND td.schema_name = x.schema_name AND td.table_name = x.table_name)"""
-_SOFT = f"""{CATALOG}, connectors AS ({sql("connectors")}), dead AS (
+_SOFT = f"""{CATALOG}, connectors AS ({sql("connectors")}),
+gone_tables AS MATERIALIZED (SELECT {parts.T}, TRUE AS gone FROM td WHERE st = 'dropped'), dead AS MATERIALIZED (
 SELECT {_row(pid=_CONTAINER, kind="'container'", parent_pid="app", application_pid="app", name="schema_name",
              description="''", type_pid="'TYP-RDBMS'", server=f"'{fx.CONTAINER_SERVER}'", is_active="'N'")}
   FROM {_with_app("sd")} WHERE st = 'dropped'
@@ -155,12 +154,14 @@ UNION ALL SELECT {_row(pid=_ELEMENT, kind="'element'", parent_pid=_ENTITY, appli
                        type_pid="'DTYPE-VARCHAR'",
                        position="CASE WHEN gone THEN CAST(o_ordinal_position AS INT) ELSE 0 END",
                        pii_indicator="'N'", is_active="'N'")}
-  FROM (SELECT x.*, {_GONE} AS gone FROM {_with_app("cd")} x) WHERE st = 'dropped'),
-alive AS (SELECT {_CONTAINER} AS pid FROM {_with_app("s_n")} UNION SELECT {_ENTITY} FROM {_with_app("t_n")}
+  FROM (SELECT x.*, coalesce(g.gone, FALSE) AS gone FROM {_with_app("cd")} x LEFT JOIN gone_tables g
+    ON g.connector_id = x.connector_id AND g.schema_name = x.schema_name AND g.table_name = x.table_name)
+  WHERE st = 'dropped'),
+alive AS MATERIALIZED (SELECT {_CONTAINER} AS pid FROM {_with_app("s_n")} UNION SELECT {_ENTITY} FROM {_with_app("t_n")}
   UNION SELECT {_ELEMENT} FROM {_with_app("c_n")})"""
 
 
-@query(f"{_SOFT} SELECT * FROM dead WHERE NOT EXISTS (SELECT 1 FROM alive WHERE alive.pid = dead.pid)")
+@query(f"{_SOFT} SELECT dead.* FROM dead ANTI JOIN alive ON alive.pid = dead.pid")
 def soft_deletes(spark, sf_dir):
     old, new = both(spark, sf_dir)
     return payload.soft_delete_rows(diff.catalog_diff(old, new), old, new, _connectors(spark, sf_dir))

@@ -22,7 +22,7 @@ def latest_runs(spark, sf_dir):
     return runs.latest_runs(_runs(spark, sf_dir))
 
 
-@query(f"{ctes('runs')} SELECT {_RUN} FROM runs ORDER BY started_at DESC, run_id LIMIT 100")
+@query(f"{ctes('runs')} SELECT {_RUN} FROM runs ORDER BY started_at DESC, run_id LIMIT 500")
 def recent_runs(spark, sf_dir):
     return runs.list_runs(_runs(spark, sf_dir), k=500)
 
@@ -100,3 +100,15 @@ def run_health(spark, sf_dir):
         F.when(ok, F.struct(*[c.alias(n) for n, c in counters.items()])).alias("diff"),
         F.when(ok, F.struct(skipped.alias("skipped"), errors.alias("errors"))).alias("ingestion_result"))
     return runs.run_health(history)
+
+
+# Start times as text, some of them no times at all.
+_TEXT_RUNS = """SELECT *, CASE WHEN run_id % 50 = 0 THEN 'garbage' ELSE CAST(started_at AS STRING) END AS started_text FROM runs"""
+
+
+@query(f"""{ctes("runs")}, t AS (SELECT *, coalesce(try_cast(started_text AS TIMESTAMP), TIMESTAMP '1970-01-01') AS s
+  FROM ({_TEXT_RUNS})) SELECT job_id, max(s) FILTER (ok) AS last_success_at, count(*) FILTER (ok) AS successes,
+  count(*) AS runs FROM (SELECT *, status IN ('COMPLETED', 'NO_CHANGES') AS ok FROM t) GROUP BY job_id""")
+def last_success_of_text_times(spark, sf_dir):
+    text = F.when(F.col("run_id") % 50 == 0, F.lit("garbage")).otherwise(F.col("started_at").cast("string"))
+    return runs.last_success(_runs(spark, sf_dir).withColumn("started_at", text))

@@ -41,14 +41,15 @@ _TABLE_KEY = """'conn-' || CAST(l_suppkey % 10 AS STRING) AS connector_id,
     't' || CAST(l_partkey AS STRING) AS table_name"""
 _COLUMN_NAME = pick("(l_partkey + l_linenumber) % 16", COLUMN_NAMES)
 
-# Old and new sides of a catalog: each drops other schemas, tables and columns.
+# Sides of a catalog: all of it, and an old and a new one that drop other schemas, tables and columns.
 _KEEP = {
+    "all": "1 = 1",
     "old": "l_suppkey % 19 <> 3 AND (l_suppkey + l_partkey) % 23 <> 5 "
            "AND (l_partkey + l_linenumber) % 11 <> 0",
     "new": "l_suppkey % 17 <> 2 AND (l_suppkey + l_partkey) % 29 <> 7 "
            "AND (l_partkey + l_linenumber) % 11 <> 1",
 }
-_CHANGED = {"old": "1 = 0", "new": "l_partkey % 13 = 0"}
+_CHANGED = {"all": "1 = 0", "old": "1 = 0", "new": "l_partkey % 13 = 0"}
 
 
 def _catalog_columns(side: str) -> str:
@@ -64,7 +65,7 @@ def _catalog_columns(side: str) -> str:
     CASE WHEN l_linenumber % 3 = 0 THEN 255 END AS character_max_length,
     CASE WHEN l_linenumber % 3 = 1 THEN 10 END AS numeric_precision,
     CASE WHEN l_linenumber % 3 = 1 THEN 2 END AS numeric_scale,
-    CASE WHEN l_linenumber = 5 THEN {"''" if side == "old" else "NULL"}
+    CASE WHEN l_linenumber = 5 THEN {"NULL" if side == "new" else "''"}
          WHEN l_linenumber = 6 THEN 'note, "' || CAST(l_partkey % 5 AS STRING) || '"'
     END AS column_comment,
     l_linenumber <= 2 AS is_primary_key,
@@ -91,7 +92,7 @@ def _raw_keys(side: str) -> str:
     l_linenumber % 3 AS key_seq,
     {_COLUMN_NAME} AS column_name,
     l_linenumber AS seq
-  FROM {{lineitem}} WHERE {_KEEP[side]} AND l_linenumber <= 4"""
+  FROM {{lineitem}} WHERE {_KEEP[side]}"""
 
 
 def _raw_imported_keys(side: str) -> str:
@@ -107,7 +108,7 @@ def _raw_imported_keys(side: str) -> str:
     {_COLUMN_NAME} AS fkcolumn_name,
     'k' || CAST(l_linenumber % 5 AS STRING) AS pkcolumn_name,
     l_linenumber AS seq
-  FROM {{lineitem}} WHERE {_KEEP[side]} AND l_linenumber BETWEEN 2 AND 6"""
+  FROM {{lineitem}} WHERE {_KEEP[side]}"""
 
 
 def _raw_index_info(side: str) -> str:
@@ -207,7 +208,7 @@ WORKLOADS = {
     **{f"raw_index_info_{side}": _raw_index_info(side) for side in _KEEP},
     **{f"catalog_columns_{side}": _catalog_columns(side) for side in _KEEP},
     **{f"catalog_tables_{side}": _catalog_tables(side) for side in _KEEP},
-    **{f"orders_{side}": _orders_snapshot(side) for side in _KEEP},
+    **{f"orders_{side}": _orders_snapshot(side) for side in ("old", "new")},
     "snapshots": """SELECT 'conn-' || CAST(o_custkey AS STRING) AS connector_id,
     CAST(o_orderkey AS STRING) AS snapshot_id,
     'db' || CAST(o_custkey % 5 AS STRING) AS database_name,

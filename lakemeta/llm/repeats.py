@@ -230,15 +230,15 @@ def unpacked(ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, text, ranges): every row of ``docs`` whole, as a struct, beside its repeated ranges."""
+    """(row, ranges): every row of ``docs`` whole, as a struct, beside its repeated ranges."""
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"),
-                       text_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    return null_safe(rows, ranges, ["doc_id", "key"], "left").select("row", "text", "ranges")
+                       text_key(F.col(id_col), F.col(text_col)).alias("key"))
+    return null_safe(rows, ranges, ["doc_id", "key"], "left").select("row", "ranges")
 
 
-def text_and_ranges(batch):
+def text_and_ranges(batch, text_col: str):
     """Each row's bytes and its runs to remove, as (bytes, begin, end)."""
-    data, offsets = utf8(batch.column(batch.schema.get_field_index("text")))
+    data, offsets = utf8(batch.column("row").field(text_col))
     column = batch.column(batch.schema.get_field_index("ranges"))
     packed = column.flatten().to_numpy(zero_copy_only=False)
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)

@@ -213,7 +213,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def cut(batches):
         for batch in batches:
             kept, sizes, removed, spans = [], [], [], []
-            for text, begin, end in text_and_ranges(batch):
+            for text, begin, end in text_and_ranges(batch, text_col):
                 sizes.append(len(text))
                 removed.append(int(sum(end) - sum(begin)))
                 spans.append(len(begin))

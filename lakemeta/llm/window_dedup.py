@@ -61,7 +61,7 @@ def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def cut(batches):
         for batch in batches:
             kept, counts, removed = [], [], []
-            for text, begin, end in text_and_ranges(batch):
+            for text, begin, end in text_and_ranges(batch, text_col):
                 words = text.split()
                 counts.append(len(words))
                 removed.append(int(sum(end) - sum(begin)))

@@ -74,10 +74,10 @@ def test_a_saturated_sketch_changes_nothing(awkward, monkeypatch):
     assert sorted(found) == sorted(words_expected(awkward_texts(), 12))
 
 
-@pytest.mark.parametrize("length", [1, 9, 40, 200])
+@pytest.mark.parametrize("length", [2, 9, 40, 200])
 def test_difference_cover(length):
     v, held, shift = difference_cover(length)
-    assert 2 * v <= max(length, 2)
+    assert 2 * v <= length
     for a in range(v):
         for b in range(v):
             assert held[(a + shift[a, b]) % v] and held[(b + shift[a, b]) % v]

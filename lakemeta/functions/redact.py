@@ -14,13 +14,18 @@ def _mask_key(text: Column, key: str) -> Column:
     """Masks ``key=value`` / ``key: value``; a value ends at white space.
 
     What replaces a match depends on the match: an ``@`` makes it a URL password, a ``=`` decides the
-    separator. Three replacements take the three kinds one after the other. A value without ``@`` must
-    reach up to white space, so none takes up again what an earlier one has put there.
+    separator. So the matches are taken out, masked one by one, and put between what lay around them.
     """
-    end = r"(?=\s|$)"
-    text = F.regexp_replace(text, rf"(?i){key}[=:]\s*[^\s@]*@\S*", f":{fx.MASK}@")
-    text = F.regexp_replace(text, rf"(?i)({key})(?:=\s*[^\s@]+|:\s*[^\s@=]*=[^\s@]*){end}", f"$1={fx.MASK}")
-    return F.regexp_replace(text, rf"(?i)({key}):\s*[^\s@=]+{end}", f"$1:{fx.MASK}")
+    pattern = rf"(?i){key}[=:]\s*\S+"
+
+    def masked(match: Column) -> Column:
+        separator = F.when(match.contains("="), F.lit("=")).otherwise(F.lit(":"))
+        return F.when(match.contains("@"), F.lit(f":{fx.MASK}@")).otherwise(
+            F.concat(F.regexp_extract(match, "^[^=:]*", 0), separator, F.lit(fx.MASK)))
+
+    masks = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), masked)
+    around = F.split(text, pattern, -1)
+    return F.array_join(F.zip_with(around, F.concat(masks, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
 
 
 def redact_credentials(df: DataFrame, column: str, bearer_first: bool = True) -> DataFrame:

@@ -77,7 +77,10 @@ def history(spark):
 def test_latest_and_recent(history):
     assert {r.job_id: r.run_id for r in runs.latest_runs(history).collect()} == {"j": 2, "k": 4}
     assert [r.run_id for r in runs.list_runs(history).collect()] == [2, 3, 1, 4]
-    assert [r.run_id for r in runs.list_runs(history, "j", k=0).collect()] == [2]
+    assert [r.run_id for r in runs.list_runs(history, "j", k=1).collect()] == [2]
+    assert runs.list_runs(history, k=500).count() == 4
+    with pytest.raises(ValueError):
+        runs.list_runs(history, k=0)
 
 
 def test_jobs_without_runs_stay(history, spark):

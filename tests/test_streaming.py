@@ -112,6 +112,36 @@ def test_incremental_sync(spark, feed, load_documents, connectors, tmp_path):
     assert active == {"PUBLIC", "USERS", "USER_ID", "EMAIL"} and len(rows) == 13
 
 
+def test_a_late_snapshot_is_superseded(spark, feed, load_documents, connectors, tmp_path):
+    """A snapshot discovered earlier but arriving later changes nothing; without push nothing is applied at all."""
+    shorter = users()
+    shorter["columns"] = shorter["columns"][:2]
+    whole, snaps = load_documents({"test-pg": database([schema()])}, "whole")
+    less, _ = load_documents({"test-pg": database([schema(tables=[shorter], views=[])])}, "less")
+    late = lambda day: F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp")
+    feed(nest_tables(whole).withColumns({"snapshot_id": F.lit("b"), "discovered_at": late(2)}))
+    feed(nest_tables(less).withColumns({"snapshot_id": F.lit("z"), "discovered_at": late(1)}))
+    for push in (True, False):
+        store = str(tmp_path / f"store-{push}")
+        sync.run_incremental_sync(feed.stream(), store, str(tmp_path / f"cp-{push}"), connectors, snaps, push=push).awaitTermination()
+        runs = {r.snapshot_id: r for r in sync.read_sync_runs(spark, store).collect()}
+        assert (runs["b"].status, runs["z"].status) == ("COMPLETED", "SUPERSEDED")
+        assert (runs["b"].tables_found, runs["b"].columns_found) == (3, 9) and runs["b"].columns_added == 9
+        assert runs["b"].created == (13 if push else 0)
+        assert sync.read_catalog_store(spark, store).filter("is_active = 'Y'").count() == (13 if push else 0)
+
+
+def test_a_connector_can_report_that_nothing_is_left(spark, feed, load_documents, connectors, tmp_path):
+    store = str(tmp_path / "store")
+    whole, snaps = load_documents({"test-pg": database([schema()])}, "whole")
+    nested = nest_tables(whole).withColumn("snapshot_id", F.lit("s0"))
+    feed(nested)
+    gone = {c: F.lit(None).cast(nested.schema[c].dataType) for c in nested.columns if c not in ("connector_id", "snapshot_id")}
+    feed(nested.limit(1).withColumns({**gone, "snapshot_id": F.lit("s1")}))
+    sync.run_incremental_sync(feed.stream(), store, str(tmp_path / "cp"), connectors, snaps).awaitTermination()
+    assert sync.read_catalog_store(spark, store).filter("is_active = 'Y'").count() == 0
+
+
 def test_sync_of_several_connectors_in_one_batch(spark, feed, load_documents, connectors, tmp_path):
     store = str(tmp_path / "store")
     cat, snaps = load_documents({"test-pg": database(), "test-mssql": database([schema("dbo", [orders()], [])])})
@@ -136,3 +166,20 @@ def test_run_timeouts(spark, feed, tmp_path):
      .trigger(availableNow=True).start().awaitTermination())
     rows = {r.run_id: r.error for r in spark.read.parquet(out).collect()}
     assert rows == {i: "Job timed out after 60s" for i in (2, 3, 4)}
+
+
+def test_timeouts_of_any_length_are_kept(spark, feed, tmp_path):
+    """Neither a second nor three hours is altered; an end on the deadline is in time."""
+    events = spark.createDataFrame(
+        [(1, "start", 0, 1), (2, "start", 0, 10800), (2, "end", 10799, None), (3, "start", 0, 10800), (3, "end", 10801, None),
+         (4, "start", 0, 10800), (4, "end", 10800, None), (5, "start", 0, 0), (6, "start", 90000, 60)],
+        "run_id INT, kind STRING, at INT, timeout_seconds INT")
+    feed(events.withColumn("ts", F.timestamp_seconds(F.col("at") + 1_700_000_000)))
+    stream = feed.stream()
+    timed_out = timeouts.stream_run_timeouts(
+        stream.filter("kind = 'start'").withColumnRenamed("ts", "started_at"),
+        stream.filter("kind = 'end'").withColumnRenamed("ts", "ended_at").select("run_id", "ended_at"))
+    out = str(tmp_path / "out")
+    (timed_out.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
+     .trigger(availableNow=True).start().awaitTermination())
+    assert {r.run_id: r.timeout_seconds for r in spark.read.parquet(out).collect()} == {1: 1, 3: 10800, 5: 0}

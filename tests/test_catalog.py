@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from builders import database, orders, schema, users
 from lakemeta.model import SNAPSHOTS
-from lakemeta.operators import catalog, paging
+from lakemeta.operators import catalog, paging, payload
 from lakemeta.operators.payload import catalog_rows, element_rows, entity_rows
 from lakemeta.sources import exports
 
@@ -143,3 +143,15 @@ def test_inventory_csv(load_documents, tmp_path):
     assert 'test-pg,public,users,"description,field",varchar,varchar(255),true,false' in body
     assert 'test-pg,public,users,"say ""hi""",varchar,varchar(100),true,false' in body
     assert len(body) == 3
+
+
+def test_a_history_of_snapshots_gives_one_container_a_schema(spark):
+    schemas = spark.createDataFrame([("c", "s")], "connector_id STRING, schema_name STRING")
+    history = spark.createDataFrame(
+        [("c", "1", "MYSQL", "v" * 60, 1), ("c", "2", "MYSQL", "w" * 60, 2)],
+        "connector_id STRING, snapshot_id STRING, database_type STRING, server_version STRING, day INT").withColumn(
+        "discovered_at", F.timestamp_seconds("day"))
+    rows = payload.container_rows(schemas, history, history).collect()
+    assert len(rows) == 1 and "w" * 60 in rows[0].description
+    short = payload.container_rows(schemas, history, history, version_chars=50).first().description
+    assert "w" * 50 in short and "w" * 51 not in short

@@ -164,3 +164,11 @@ def test_types_that_differ_compare_as_text(spark):
     old = spark.createDataFrame([(1, "5")], "k INT, v STRING")
     new = spark.createDataFrame([(1, 5)], "k INT, v INT")
     assert statuses(diff.diff_status(old, new, ["k"], ["v"]), "k") == {1: "unchanged"}
+
+
+def test_the_last_of_repeated_names_counts(spark):
+    side = lambda *types: spark.createDataFrame(
+        [("c", "s", "t", "x", i, t) for i, t in enumerate(types)],
+        "connector_id STRING, schema_name STRING, table_name STRING, column_name STRING, ordinal_position INT, full_data_type STRING")
+    rows = diff.diff_columns(side("int", "text"), side("date", "text"), ["full_data_type"]).collect()
+    assert [r.status for r in rows] == ["unchanged"]

@@ -130,3 +130,30 @@ def test_declared_keys(spark):
     assert (pk.duplicate_keys, pk.duplicate_rows, pk.null_rows) == (1, 1, 1)
     fk = keys.check_foreign_keys(tables, [keys.ForeignKey("child", "fk", ["p"], "parent", ["k"])]).first()
     assert (fk.orphan_keys, fk.orphan_rows) == (1, 2)
+
+
+def test_a_wide_table_nests_in_parts(load_documents):
+    """No column is dropped: parts hold those of their ordinals, keys stay in the first."""
+    cat, _ = load_documents({"c": database()})
+    nested = discovery.nest_tables(cat, columns_per_part=2)
+    assert nested.groupBy(*TABLE_KEY).count().count() == cat.tables.count() < nested.count()
+    assert discovery.flatten_columns(nested).count() == cat.columns.count()
+    assert nested.filter("part > 0 AND (primary_key IS NOT NULL OR size(foreign_keys) > 0)").count() == 0
+    again = unnest_tables(nested)
+    for name, df in cat._asdict().items():
+        assert getattr(again, name).count() == df.count(), name
+
+
+def test_nothing_is_capped_unless_asked(spark):
+    raw = RawMetadata(
+        spark.range(200).selectExpr("'c' AS connector_id", "concat('s', id) AS schema_name", "'t' AS table_name", "'TABLE' AS table_type", "'' AS remarks"),
+        *[spark.createDataFrame([], ddl) for ddl in (
+            "connector_id STRING, schema_name STRING, table_name STRING, column_name STRING, ordinal_position INT, type_name STRING, "
+            "column_size INT, decimal_digits INT, nullable INT, column_def STRING, remarks STRING, is_autoincrement STRING",
+            "connector_id STRING, schema_name STRING, table_name STRING, column_name STRING, pk_name STRING, key_seq INT, seq INT",
+            "connector_id STRING, schema_name STRING, table_name STRING, fk_name STRING, pktable_schem STRING, pktable_cat STRING, "
+            "pktable_name STRING, fkcolumn_name STRING, pkcolumn_name STRING, seq INT",
+            "connector_id STRING, schema_name STRING, table_name STRING, index_name STRING, type INT, non_unique BOOLEAN, column_name STRING, seq INT")])
+    schemas = raw.tables.select("connector_id", "schema_name")
+    assert discovery.build_catalog(raw, schemas).tables.count() == 200
+    assert discovery.build_catalog(raw, schemas, max_schemas=7).tables.count() == 7

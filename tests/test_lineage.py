@@ -115,3 +115,11 @@ def test_readable_edges(edges):
     row = lineage.readable_edges(edges(("c@t@s@a@b", "bare", "FK"))).first()
     assert (row.source_column, row.source_table, row.source_schema, row.source_connector) == ("c", "t", "s", "a@b")
     assert (row.target_column, row.target_table, row.target_connector) == ("bare", "?", "?")
+
+
+def test_an_unknown_kind_is_an_error_unless_weighted(spark):
+    one = spark.createDataFrame([("a@APP-1", "b@APP-1", "GUESS")], "source_element_pid STRING, target_element_pid STRING, source_type STRING")
+    for plan in (lineage.winner_edges(one), lineage.lineage_summary(one)):
+        with pytest.raises(Exception, match="unknown edge kind: GUESS"):
+            plan.collect()
+    assert [r.source_type for r in lineage.winner_edges(one, {"GUESS": 1}).collect()] == ["GUESS"]

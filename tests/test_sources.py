@@ -83,3 +83,18 @@ def test_job_log(spark, tmp_path):
     jobs, bad = run_log.read_job_log(spark, str(tmp_path / "jobs.jsonl"))
     assert jobs.select("job_id", "schedule_type", "is_enabled").first() == ("j", "daily", True)
     assert bad.filter(F.lit(True)).count() == 0
+
+
+def test_snapshot_ids_come_back_as_given_and_empty_tables_load(spark, load_documents, tmp_path):
+    """A connector of digits with a leading zero, and a catalog without foreign keys and indexes."""
+    plain = users(foreignKeys=[], indexes=[])
+    path = str(tmp_path / "history")
+    for day, tables in ((1, [plain]), (2, [plain])):
+        catalog, listed = load_documents({"007": database([schema(tables=tables, views=[])],
+                                                          discovered_at=f"2024-05-0{day}T10:00:00.000Z")}, f"day{day}")
+        snapshots.save_snapshot(catalog, listed, path)
+    newest = snapshots.load_snapshots(spark, path)
+    assert [(r.connector_id, r.snapshot_id) for r in newest.collect()] == [("007", "2024-05-02T10:00:00.000Z")]
+    loaded = snapshots.load_catalog(spark, path)
+    assert {r.connector_id for r in loaded.tables.collect()} == {"007"} and loaded.columns.count() == 3
+    assert loaded.foreign_keys.count() == loaded.indexes.count() == 0

@@ -221,12 +221,13 @@ def train(texts: list[bytes], labels: list[int], min_count: int = 3, most_words:
     labels = np.array(labels)
     toxic, fine = np.flatnonzero(labels == 1), np.flatnonzero(labels != 1)
     pool = np.concatenate([windows[i] for i in toxic])
+    parts = np.array_split(np.arange(len(words.ids)), len(words.ids) // 16384 + 1)
     edges = np.cumsum([0, *(len(windows[i]) for i in toxic)])
     adam, done, epoch = Adam(network.p, rate), 0, 0
     while done < updates:
         chosen = {i: rng.integers(len(windows[i])) for i in toxic}
         if epoch >= 2:
-            gates = network.projected(words)[0]
+            gates = np.concatenate([network.projected(words.some(part))[0] for part in parts], axis=1)
             scores = np.concatenate([network.run(gates, part) for part in np.array_split(pool, len(pool) // 2048 + 1)])
             chosen = {i: int(np.argmax(scores[a:b])) for i, a, b in zip(toxic, edges[:-1], edges[1:], strict=True)}
         picks = [(i, chosen[i]) for i in toxic] + [(i, k) for i in fine for k in rng.integers(len(windows[i]), size=min(2, len(windows[i])))]

@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 from lakemeta.llm.common import documents, saved, utf8
 
 WORD_BPE = "word_bpe_49k.json"
-_ZIP, _UNZIP = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
 _SLICE_BYTES, _MOST_SLICES = 1 << 25, 4096
 
 
@@ -103,7 +103,7 @@ class Chunk:
         slice_of = np.array([zlib.crc32(w) for w in words], np.uint32) % np.uint32(slices)
         slice_of = slice_of[order].astype(np.uint16)
         ordered = [words[i] for i in order]
-        yield _rows(self.place, kind, [-1], [None], [None], [slice_of.tobytes()])
+        yield _rows(self.place, kind, [-1], [None], [None], [packed(slice_of)])
         members = np.argsort(slice_of, kind="stable")
         ends = np.searchsorted(slice_of[members], np.arange(slices), "right")
         begin = 0
@@ -166,7 +166,7 @@ def encoded_words(name: str):
 def word_ids(answers: pa.Table) -> list[np.ndarray]:
     """The ids of each word of a chunk, by its number."""
     found = dict(zip(answers.column("slice").to_pylist(), zip(answers.column("counts").to_pylist(), answers.column("ids").to_pylist(), strict=True), strict=True))
-    slice_of = np.frombuffer(found.pop(-1)[0], np.uint16)
+    slice_of = unpacked(found.pop(-1)[0]).astype(np.uint16)
     out = [None] * len(slice_of)
     for number, (counts, ids) in found.items():
         flat, ends = unpacked(ids), np.cumsum(unpacked(counts)).tolist()
@@ -178,7 +178,7 @@ def word_ids(answers: pa.Table) -> list[np.ndarray]:
 
 
 def coded(docs: DataFrame, name: str = WORD_BPE, text_col: str = "text", carry: list[str] | None = None,
-          digests: bool = False, chunk_bytes: int = 1 << 24) -> DataFrame:
+          digests: bool = False, chunk_bytes: int = 1 << 25) -> DataFrame:
     """Every row of ``docs`` encoded and decoded again.
 
     Returns the ``carry`` columns (default: all) in a struct ``row`` with ``n_tokens`` and either ``ids`` and

@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 from lakemeta.llm.common import documents, saved, utf8
 
 WORD_BPE = "word_bpe_49k.json"
-_ZIP, _UNZIP = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=9), zstandard.ZstdDecompressor()
 _SLICE_BYTES, _MOST_SLICES = 1 << 25, 4096
 
 

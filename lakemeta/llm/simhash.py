@@ -10,6 +10,8 @@ distance is looked at.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -176,10 +178,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     zero, repeated rows share a fingerprint; other columns are not read. Links are sought among distinct
     fingerprints only, so copies cost nothing, and every link between different ones is kept or implied.
     """
-    rows = saved(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    return grouped(saved(fingerprints(docs, id_col, text_col, shingle), "fingerprints"), links)
+
+
+def grouped(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` (doc_id, key, fp) with the component that the links among their distinct ``fp`` make, and its leader."""
     first = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "key")
     distinct = saved(rows.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
-    roots = saved(components(links(distinct.select("fp"))), "roots")
+    roots = saved(components(links_of(distinct.select("fp"))), "roots")
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     leaders = saved(placed.groupBy("root").agg(F.min("first").alias("lead")), "leaders")
     table = saved(placed.join(leaders, "root").select(
@@ -189,7 +195,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component left: the one with the smallest id."""
-    keep = near_duplicates(docs, id_col, text_col).filter(
+    return one_of_each(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that lead their component in ``found``, one row of equal ones."""
+    keep = found.filter(
         "doc_id <=> component_id AND key = leader").select("doc_id", "key").distinct()
     keys = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k1"), F.col("key").alias("k2")]
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"),

@@ -98,7 +98,8 @@ def sketch_bits(values: int, window: int, most: int) -> int:
 def count_min(minimisers: Callable, source: DataFrame, bits: int) -> np.ndarray:
     """One bit per sketch cell: was it hit twice or more?
 
-    Every partition makes its own sketch, sent as its non-zero cells; they are added up cell by cell.
+    Every partition makes its own sketch, sent as its non-zero cells. They are shuffled once, by the chunk of the
+    sketch they lie in, and both added up cell by cell and laid out as bits there: no unfinished chunk travels.
     The merged sketch never counts too low, so a repeated minimiser has all its cells set. Only the
     bits reach the driver: 2 * 2^bits / 8 bytes, whatever the input.
     """
@@ -119,16 +120,20 @@ def count_min(minimisers: Callable, source: DataFrame, bits: int) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.minimum(hits, 2).astype(np.int32))],
                                           names=["cell", "hits"])
 
-    twice = (source.mapInArrow(partial, "cell INT, hits INT").groupBy("cell").agg(F.sum("hits").alias("hits"))
-             .filter("hits >= 2")
-             .groupBy(F.shiftright("cell", 15).alias("chunk"))
-             .agg(F.bitmap_construct_agg(F.col("cell").bitwiseAND(32767).cast("long")).alias("bits")))
+    twice = laid_out(source.mapInArrow(partial, "cell INT, hits INT"))
     sketch = np.zeros((_ROWS << bits) // 8, np.uint8)
     for chunk, part in twice.collect():
         sketch[chunk * 4096:(chunk + 1) * 4096] = np.frombuffer(part, np.uint8)[:len(sketch)]
     return sketch
 
 
+def laid_out(cells: DataFrame) -> DataFrame:
+    """(chunk, bits): of 32768 cells each, which were hit twice or more; ``cells`` is (cell, hits), cells in several rows."""
+    return (cells.withColumn("chunk", F.shiftright("cell", 15)).repartition("chunk")
+            .groupBy("chunk", "cell").agg(F.sum("hits").alias("hits")).filter("hits >= 2")
+            .groupBy("chunk").agg(F.bitmap_construct_agg(F.col("cell").bitwiseAND(32767).cast("long")).alias("bits")))
+
+
 def estimated_twice(sketch: np.ndarray, minimiser: np.ndarray, bits: int) -> np.ndarray:
     found = np.ones(len(minimiser), bool)
     for cell in cells(minimiser, bits):
@@ -229,11 +234,27 @@ def unpacked(ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[new], end[np.append(new[1:], True)]
 
 
+#: Words of 64 bits in the filter of rows that have ranges; it is broadcast, with 16 bytes a word.
+_FILTER = 1 << 19
+
+
 def with_ranges(docs: DataFrame, ranges: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, ranges): every row of ``docs`` whole, as a struct, beside its repeated ranges."""
+    """(row, ranges): every row of ``docs`` whole, as a struct, beside its repeated ranges.
+
+    Texts without ranges needn't meet them: a bitmap of the keys that have some, of at most ``_FILTER`` words, lets
+    the other rows pass by the join. Where keys are so many that it fills up, more rows go through the join.
+    """
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"),
                        text_key(F.col(id_col), F.col(text_col)).alias("key"))
-    return null_safe(rows, ranges, ["doc_id", "key"], "left").select("row", "ranges")
+    ranges = saved(ranges, "ranges")
+    word = F.shiftright("key", 6).bitwiseAND(_FILTER - 1)
+    bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
+    held = saved(ranges.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")), "keys-with-ranges")
+    # At most _FILTER rows, whatever the input.
+    marked = rows.withColumn("word", word).join(F.broadcast(held), "word", "left").withColumn(
+        "has", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))).drop("word", "bits")
+    met = null_safe(marked.filter("has"), ranges, ["doc_id", "key"], "left").select("row", "ranges")
+    return met.unionByName(marked.filter(~F.col("has")).select("row", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges")))
 
 
 def text_and_ranges(batch, text_col: str):

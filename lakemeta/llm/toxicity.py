@@ -90,6 +90,14 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
+def by_row(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """``x @ m`` with each row's sums made in one order, whatever rows are beside it; matrix libraries don't promise that."""
+    out = x[..., :1] * m[..., :1, :]
+    for k in range(1, m.shape[-2]):
+        out += x[..., k:k + 1] * m[..., k:k + 1, :]
+    return out
+
+
 @dataclass
 class Network:
     """Parameters by name; a leading 2 in a shape means forward and backward."""
@@ -107,17 +115,21 @@ class Network:
         p["bias"][:] = 0
         return cls(word_ids, p | {"level": np.zeros(1, np.float32)})
 
-    def projected(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    def projected(self, words: Words, product=np.matmul) -> tuple[np.ndarray, np.ndarray]:
         """What each word adds to the gates in each direction, (2, words, 3 * state), and the words' vectors."""
         mean = np.zeros((len(words.ids), _CHAR_DIM), np.float32)
         if len(words.ids):
             at = np.cumsum(words.sizes) - words.sizes
             mean = np.add.reduceat(self.p["char"][words.flat], at, axis=0) / words.sizes[:, None]
         x = np.concatenate([self.p["word"][words.ids], mean], axis=1).astype(np.float32)
-        return x @ self.p["into"] + self.p["bias"], x
+        return product(x, self.p["into"]) + self.p["bias"], x
 
     def run(self, gates: np.ndarray, index: np.ndarray, keep: bool = False):
-        """Logits of windows ``index`` (rows of word numbers, -1 for padding)."""
+        """Logits of windows ``index`` (rows of word numbers, -1 for padding); with ``keep``, what gradients need beside them.
+
+        Without, a window's logit is the same to the last bit in any company.
+        """
+        product = np.matmul if keep else by_row
         batch, steps = index.shape
         order = np.ascontiguousarray(index.T)
         gates = np.concatenate([gates, _PADDING], axis=1)
@@ -126,7 +138,7 @@ class Network:
         kept = []
         for s in range(steps):
             x = np.stack([gates[0].take(order[s], axis=0, mode="wrap"), gates[1].take(order[steps - 1 - s], axis=0, mode="wrap")])
-            u = h @ self.p["back"]
+            u = product(h, self.p["back"])
             zr = _sigmoid(x[:, :, :2 * _STATE] + u[:, :, :2 * _STATE])
             z, r = zr[:, :, :_STATE], zr[:, :, _STATE:]
             un = u[:, :, 2 * _STATE:]
@@ -138,11 +150,11 @@ class Network:
             states[0, s], states[1, steps - 1 - s] = h[0], h[1]
         both = np.concatenate([states[0], states[1]], axis=2)
         seen = order >= 0
-        focus = np.where(seen, both @ self.p["look"], np.float32(-1e9))
+        focus = np.where(seen, (both * self.p["look"]).sum(2), np.float32(-1e9))
         weight = np.exp(focus - focus.max(0)) * seen
         weight /= np.maximum(weight.sum(0), np.float32(1e-9))
         pooled = np.einsum("tb,tbk->bk", weight, both)
-        logits = pooled @ self.p["out"] + self.p["level"][0]
+        logits = (pooled * self.p["out"]).sum(1) + self.p["level"][0]
         return (logits, (order, kept, both, weight, pooled)) if keep else logits
 
     def gradients(self, index: np.ndarray, words: Words, target: np.ndarray, weight_of: np.ndarray):
@@ -260,14 +272,14 @@ class Scorer:
         windows = [windows_of(numbered_words(t, self.numbers)) for t in texts]
         new = list(islice(reversed(self.numbers), len(self.numbers) - self.known))[::-1]
         if new:
-            added = self.network.projected(Words.of(new, self.network.word_ids))[0].astype(np.float32)
+            added = self.network.projected(Words.of(new, self.network.word_ids), by_row)[0].astype(np.float32)
             self.gates, self.known = np.concatenate([self.gates, added], axis=1), len(self.numbers)
         owner = np.repeat(np.arange(len(texts)), [len(w) for w in windows])
         index = np.concatenate(windows) if windows else np.zeros((0, WINDOW), np.int64)
         best = np.full(len(texts), -np.inf, np.float32)
         for at in range(0, len(index), 2048):
             np.maximum.at(best, owner[at:at + 2048], self.network.run(self.gates, index[at:at + 2048]))
-        return _sigmoid(best.astype(np.float64))
+        return np.round(_sigmoid(best.astype(np.float64)), 9)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -296,8 +308,8 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Every row of ``docs`` as a struct ``row`` with ``held_out``, ``score`` and ``predicted``.
 
     Only the text is scored; null and empty texts are one empty window. If the labels that may be learned
-    from are all of one kind, the score is that label (0 for none at all). Repeated rows get
-    equal scores, and columns of any name ride along.
+    from are all of one kind, the score is that label (0 for none at all). Equal texts get equal
+    scores, however rows are partitioned, and columns of any name ride along.
     """
     sample = training_rows(docs, labels, id_col, text_col, **options)
     kinds = {label for _, _, label in sample}

@@ -77,6 +77,11 @@ def test_scored(spark, awkward, no_documents):
     flipped = known.withColumn("toxic", (known.toxic + known.doc_id.isin(*unseen).cast("int")) % 2)
     again = {r.row.doc_id: r.score for r in tox.scored(docs, flipped).collect()}
     assert all(again[r.row.doc_id] == r.score for r in found)
+    dealt = tox.scored(docs.repartition(7).union(docs.limit(40)), known).collect()
+    by_text = {}
+    for r in found + dealt:
+        by_text.setdefault(r.row.text or "", set()).add((r.score, r.predicted))
+    assert all(len(scores) == 1 for scores in by_text.values())
     assert {r.score for r in tox.scored(awkward, known.filter("toxic = 0")).collect()} == {0.0}
     assert {r.score for r in tox.scored(awkward, known.limit(0)).collect()} == {0.0}
     assert tox.scored(no_documents, known).count() == 0

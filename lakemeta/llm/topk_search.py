@@ -18,23 +18,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakemeta.llm.common import saved
+from lakemeta.llm.common import numbered, saved
 
 _ROWS, _QUERIES = 8192, 2048
 _CHUNK = 256
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v): floor(256 * x) of each component, one row per id.
+    """(vec_id, v): floor(256 * x) of each component, one row per id and vector.
 
-    Rows with no id, no vector, no components, or a component that is null or not finite take no part; of
-    several vectors under one id the smallest counts.
+    Rows with no id, no vector, or a component that is null or not finite take no part. A vector
+    without components does; so does each of several vectors under one id.
     """
     x = F.col("x")
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.transform(vector_col, lambda c: c.cast("double")).alias("x"))
-    valid = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & (F.size(x) > 0)
+    valid = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return (rows.filter(F.col("vec_id").isNotNull() & F.coalesce(valid, F.lit(False)))
-            .groupBy("vec_id").agg(F.min(F.transform(x, lambda c: F.floor(c * 256))).alias("v")))
+            .select("vec_id", F.transform(x, lambda c: F.floor(c * 256)).alias("v")).distinct())
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -125,19 +125,22 @@ def _resolved(pairs: DataFrame, classes: DataFrame, k: int, name: str) -> DataFr
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, segments: int = 2, id_col: str = "vec_id",
           vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each id divisible by ``every``, the ``k`` highest inner products with
-    other ids (all, if there are fewer), equal scores in id order.
+    """(query_id, rank, vec_id, score): for each row whose id ``every`` divides, the ``k`` highest inner products with
+    other rows (all, if there are fewer), equal scores in id order.
 
-    Shorter vectors count as filled with zeros. Repeated rows are one row; other columns are not read. Scores
+    Shorter vectors count as filled with zeros. Rows equal in id and vector are one row, several vectors under
+    one id are queries and candidates each; other columns are not read. Scores
     must fit in 64 bits. An empty table, or one vector, has no answers.
     """
     rows = saved(quantised(vectors, id_col, vector_col), "vectors")
     first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    classes = saved(rows.withColumn("n", first).filter(F.col("n") <= k + 1).groupBy("v").agg(
-        F.min("vec_id").alias("cid"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "classes")
+    # Classes are numbered in the order of their smallest ids, which equal scores are ranked by.
+    classes = rows.withColumn("n", first).filter(F.col("n") <= k + 1).groupBy("v").agg(
+        F.min("vec_id").alias("lead"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    classes = saved(numbered(classes, [F.col("lead"), F.col("v")], "classes").select(F.col("place").alias("cid"), "v", "ids"), "classes")
     asked = saved(rows.filter(F.col("vec_id") % every == 0).join(classes.select("v", "cid"), "v").select("vec_id", "cid"), "asked")
     query_classes = saved(classes.join(asked.select("cid").distinct(), "cid", "left_semi").select("cid", "v"), "queries")
-    width, count = classes.agg(F.max(F.size("v")), F.count("*")).first()
+    width, count = classes.agg(F.greatest(F.max(F.size("v")), F.lit(1)), F.count("*")).first()
     queries = query_classes.count()
     if not count or not queries:
         return asked.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("bigint").alias("score")).limit(0)
@@ -148,11 +151,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, segments: int = 2, id
         F.col("query").alias("cid"), F.col("score").alias("cutoff"))
     cells, part = _cells(classes, saved(query_classes.join(floor, "cid", "left"), "cutoffs"), segments, width, count, queries)
     best = _resolved(_pairs(cells, part, lambda a, b, n: _sufficient(a, b, n, segments)), classes, k + 1, "best")
-    entries = best.join(classes.select("cid", "ids"), "cid").select("query", "score", F.explode("ids").alias("found"))
+    entries = best.join(classes.select("cid", "ids"), "cid").select("query", "cid", "score", F.explode("ids").alias("found"))
     nearest = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "found"))
     answers = saved(entries.withColumn("n", nearest).filter(F.col("n") <= k + 1).drop("n"), "answers")
-    each = asked.withColumnRenamed("cid", "query").join(answers, "query").filter("found <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "found"))
+    each = asked.withColumnRenamed("cid", "query").join(answers, "query").filter("found <> vec_id OR cid <> query")
+    rank = F.row_number().over(Window.partitionBy("vec_id", "query").orderBy(F.desc("score"), "found"))
     return each.withColumn("rank", rank).filter(F.col("rank") <= k).select(
         F.col("vec_id").alias("query_id"), "rank", F.col("found").alias("vec_id"), "score")
 
@@ -162,13 +165,13 @@ def op10_topk_search(spark, sf_dir):
 
 
 OP10_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
            FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-scores AS (SELECT q.vec_id AS query_id, c.vec_id,
-                  CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
-           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT q.vec_id AS query_id, q.e, c.vec_id,
+                  CAST(coalesce(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])), 0) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND (q.vec_id <> c.vec_id OR q.e <> c.e)),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
                   vec_id, score FROM scores)
 SELECT * FROM ranked WHERE rank <= 5
 """

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -85,17 +86,15 @@ def vectors():
 
 
 def expected_top(rows, k=5):
-    known = {}
+    known = set()
     for i, e in rows:
-        if i is None or not e or any(x is None or not math.isfinite(x) for x in e):
-            continue
-        e = [math.floor(256 * float(np.float32(x))) for x in e]
-        known[i] = min(known[i], e) if i in known else e
+        if i is not None and e is not None and not any(x is None or not math.isfinite(x) for x in e):
+            known.add((i, tuple(math.floor(256 * float(np.float32(x))) for x in e)))
     out = []
     for q in known:
-        if q % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(known[q], e, strict=False)), c) for c, e in known.items() if c != q)
-            out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scores[:k])]
+        if q[0] % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(q[1], e, strict=False)), c) for c, e in known if (c, e) != q)
+            out += [(q[0], n + 1, c, -s) for n, (s, c) in enumerate(scores[:k])]
     return sorted(out)
 
 
@@ -112,3 +111,15 @@ def test_top_k_of_few(spark):
         rows = vectors()[:n]
         table = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>")
         assert sorted(tuple(r) for r in search.top_k(table).collect()) == expected_top(rows)
+
+
+def test_top_k_of_repeated_ids(spark):
+    """Each vector of an id counts, an empty one too; query, SQL and brute force agree."""
+    rows = [(1, [1.0, 1.0]), (1, [5.0, 5.0]), (2, []), (50, [1.0, 2.0]), (50, [-1.0, 0.5]), (50, [1.0, 2.0]), (0, []), (3, [0.0, 0.0]),
+            (4, [5.0, 5.0]), (7, [5.0, 5.0]), (None, [9.0, 9.0]), (8, [None, 1.0]), (9, [float("nan")]), (1, [5.0, 5.0])]
+    table = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>")
+    found = sorted(tuple(r) for r in search.top_k(table).collect())
+    assert found == expected_top(rows)
+    with duckdb.connect() as con:
+        con.register("embeddings", table.toArrow())
+        assert sorted(con.execute(search.OP10_SQL).fetchall()) == found

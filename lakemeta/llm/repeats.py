@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemeta.llm.common import FIRST, SECOND, Rolling, mix, null_safe, row_groups, saved, text_key, utf8
+from lakemeta.llm.common import FIRST, SECOND, Rolling, binary_column, mix, null_safe, row_groups, saved, text_key, utf8
 
 #: Values handled at once; bounds a task's arrays. Places inside a segment fit in 24 bits.
 SEGMENT = 1 << 18
@@ -116,11 +116,15 @@ def count_min(minimisers: Callable, source: DataFrame, bits: int) -> np.ndarray:
             yield merged(held)
 
     def merged(held):
+        # A cell hit twice or more is sent twice; more hits tell nothing more.
         cell, hits = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.minimum(hits, 2).astype(np.int32))],
-                                          names=["cell", "hits"])
+        cell = np.repeat(cell, np.minimum(hits, 2))
+        chunk, first = np.unique(cell >> 15, return_index=True)
+        offsets = np.append(first, len(cell)) * 2
+        return pa.RecordBatch.from_arrays(
+            [pa.array(chunk.astype(np.int32)), binary_column((cell & 32767).astype(np.uint16).view(np.uint8), offsets)], names=["chunk", "cells"])
 
-    twice = laid_out(source.mapInArrow(partial, "cell INT, hits INT"))
+    twice = laid_out(source.mapInArrow(partial, "chunk INT, cells BINARY"))
     sketch = np.zeros((_ROWS << bits) // 8, np.uint8)
     for chunk, part in twice.collect():
         sketch[chunk * 4096:(chunk + 1) * 4096] = np.frombuffer(part, np.uint8)[:len(sketch)]
@@ -128,10 +132,15 @@ def count_min(minimisers: Callable, source: DataFrame, bits: int) -> np.ndarray:
 
 
 def laid_out(cells: DataFrame) -> DataFrame:
-    """(chunk, bits): of 32768 cells each, which were hit twice or more; ``cells`` is (cell, hits), cells in several rows."""
-    return (cells.withColumn("chunk", F.shiftright("cell", 15)).repartition("chunk")
-            .groupBy("chunk", "cell").agg(F.sum("hits").alias("hits")).filter("hits >= 2")
-            .groupBy("chunk").agg(F.bitmap_construct_agg(F.col("cell").bitwiseAND(32767).cast("long")).alias("bits")))
+    """(chunk, bits): of a chunk's 32768 cells, which were hit twice or more; ``cells`` is (chunk, cells), two bytes a hit."""
+    def chunk(table: pa.Table) -> pa.Table:
+        hits = np.zeros(32768, np.int64)
+        for part in table.column("cells").to_pylist():
+            hits += np.bincount(np.frombuffer(part, np.uint16), minlength=32768)
+        bits = np.packbits(hits >= 2, bitorder="little").tobytes()
+        return pa.table({"chunk": table.column("chunk")[:1], "bits": pa.array([bits], pa.binary())})
+
+    return cells.groupBy("chunk").applyInArrow(chunk, "chunk INT, bits BINARY")
 
 
 def estimated_twice(sketch: np.ndarray, minimiser: np.ndarray, bits: int) -> np.ndarray:
@@ -208,6 +217,24 @@ def repeated_ranges(source: DataFrame, sequences: Callable, payload: Callable, d
             .groupBy("doc_id", "key").agg(F.collect_set(reach).alias("ranges")))
 
 
+#: Words of 64 bits in a filter of keys; it is broadcast, with 16 bytes a word.
+_FILTER = 1 << 19
+
+
+def possible(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``df`` with ``has``: false only where ``key`` (a hash) is surely not among ``keys``.
+
+    A bitmap of at most ``_FILTER`` words is made of the keys, whatever their number; where it fills up, more
+    rows are let through. It spares rows that have no partner the way to a join that is made afterwards.
+    """
+    word = F.shiftright(key, 6).bitwiseAND(_FILTER - 1)
+    bit = F.expr(f"shiftleft(1L, cast({key} & 63 as int))")
+    held = saved(keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")), "filter")
+    # At most _FILTER rows, whatever the input.
+    return df.withColumn("word", word).join(F.broadcast(held), "word", "left").withColumn(
+        "has", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))).drop("word", "bits")
+
+
 def recurring(windows: DataFrame, keys: list[str]) -> DataFrame:
     """The keys of windows with two places or more. Written out, so that a hot key's rows can still be
     split in the join that follows."""
@@ -221,7 +248,7 @@ def contested(distinct: DataFrame) -> DataFrame:
     Only there can two different blocks share a window; a minimiser with one block is settled by its copies.
     """
     shared = saved(distinct.groupBy("m").agg(F.count("*").alias("texts")).filter("texts >= 2"), "shared")
-    return distinct.join(shared, "m")
+    return possible(distinct, "m", shared).filter("has").drop("has").join(shared, "m")
 
 
 def unpacked(ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,25 +261,12 @@ def unpacked(ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[new], end[np.append(new[1:], True)]
 
 
-#: Words of 64 bits in the filter of rows that have ranges; it is broadcast, with 16 bytes a word.
-_FILTER = 1 << 19
-
-
 def with_ranges(docs: DataFrame, ranges: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, ranges): every row of ``docs`` whole, as a struct, beside its repeated ranges.
-
-    Texts without ranges needn't meet them: a bitmap of the keys that have some, of at most ``_FILTER`` words, lets
-    the other rows pass by the join. Where keys are so many that it fills up, more rows go through the join.
-    """
+    """(row, ranges): every row of ``docs`` whole, as a struct, beside its repeated ranges. Texts that have none pass by the join."""
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"),
                        text_key(F.col(id_col), F.col(text_col)).alias("key"))
     ranges = saved(ranges, "ranges")
-    word = F.shiftright("key", 6).bitwiseAND(_FILTER - 1)
-    bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
-    held = saved(ranges.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")), "keys-with-ranges")
-    # At most _FILTER rows, whatever the input.
-    marked = rows.withColumn("word", word).join(F.broadcast(held), "word", "left").withColumn(
-        "has", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))).drop("word", "bits")
+    marked = possible(rows, "key", ranges)
     met = null_safe(marked.filter("has"), ranges, ["doc_id", "key"], "left").select("row", "ranges")
     return met.unionByName(marked.filter(~F.col("has")).select("row", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges")))
 

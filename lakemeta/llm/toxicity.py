@@ -295,7 +295,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("label_id"), F.coalesce(text_col, F.lit("")).alias("text")).filter(
         F.octet_length("text") <= most_bytes).join(picked, "label_id")
     one = rows.groupBy("label_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
-    return sorted((r.label_id, r.text.encode(), r.label) for r in one.collect())
+    table = one.toArrow()
+    texts = table["text"].cast(pa.binary()).to_pylist()
+    return sorted(zip(table["label_id"].to_pylist(), texts, table["label"].to_pylist(), strict=True))
 
 
 def held_out(id_):

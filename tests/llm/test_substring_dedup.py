@@ -7,7 +7,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lakemeta.llm import suffix_dedup as suffix
 from lakemeta.llm.repeats import laid_out
@@ -94,16 +93,12 @@ def test_rows_keep_their_columns(awkward, no_documents):
 
 def test_sketch_cells_are_shuffled_once(spark):
     """One exchange, by chunk, whatever the number of shuffle partitions; each chunk's bits are laid out in one place."""
-    cells = spark.range(200_000).select((F.col("id") * 7 % 150_000).cast("int").alias("cell"), F.lit(1).alias("hits"))
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "60")
-    try:
-        out = laid_out(cells)
-        plan = out._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange ") == 1 and "hashpartitioning(chunk" in plan
-        found = {r.chunk: r.bits for r in out.collect()}
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    hits = np.arange(200_000) * 7 % 150_000
+    rows = [(int(c), part[part >> 15 == c].astype(np.uint16).__and__(32767).tobytes())
+            for part in np.array_split(hits, 3) for c in np.unique(part >> 15)]
+    out = laid_out(spark.createDataFrame(rows, "chunk INT, cells BINARY"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "hashpartitioning(chunk" in plan
+    found = {r.chunk: r.bits for r in out.collect()}
     bits = np.unpackbits(np.frombuffer(b"".join(found[k] for k in sorted(found)), np.uint8), bitorder="little")
-    want = np.bincount(np.arange(200_000) * 7 % 150_000, minlength=len(bits)) >= 2
-    assert np.array_equal(bits.astype(bool), want)
+    assert np.array_equal(bits.astype(bool), np.bincount(hits, minlength=len(bits)) >= 2)

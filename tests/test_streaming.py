@@ -7,7 +7,7 @@ from builders import database, orders, schema, users
 from lakemeta.model import EDGE_KEY
 from lakemeta.operators import lineage, merge
 from lakemeta.operators.discovery import nest_tables
-from lakemeta.streaming import batches, edges, sync, timeouts, upsert
+from lakemeta.streaming import batches, buckets, edges, sync, timeouts, upsert
 
 EDGE_DDL = ", ".join(f"{c} STRING" for c in EDGE_KEY)
 
@@ -49,10 +49,29 @@ def test_edges_equal_batch_result(spark, feed, edge_rows, tmp_path):
     everything = edge_rows(60).unionByName(edge_rows(60, 30)).unionByName(edge_rows(10, 500))
     rows = lambda df: Counter(map(tuple, df.collect()))
     assert rows(edges.read_edges(spark, store)) == rows(lineage.dedup_edges(everything).select(*EDGE_KEY))
-    counts = {(r.app_bucket, r.source_type): r.unique_edges for r in edges.read_lineage_counts(spark, store).collect()}
+    counts = {(r.app_bucket, r.source_type): r.unique_edges for r in edges.read_lineage_counts(spark, checkpoint).collect()}
     summary = lineage.lineage_summary(everything).first()
     assert counts["__CROSS_APP__", "FK"] == summary.fk_edges
-    assert edges.read_raw_count(spark, store).first().total_raw == 130
+    assert edges.read_raw_count(spark, checkpoint).first().total_raw == 130
+
+
+def test_a_batch_of_edges_costs_the_same_however_long_the_history(spark, feed, edge_rows, tmp_path, monkeypatch):
+    """Ten batches: each reads its own file, touches the state of its own edges, and no folder written before."""
+    store = str(tmp_path / "store")
+    for n in range(10):
+        feed(spark.range(40).select(F.concat(F.lit(f"{n}-"), F.col("id") % 20).alias(EDGE_KEY[0]), F.lit("d@U@S@APP-B").alias(EDGE_KEY[1]),
+                                    F.lit("FK").alias(EDGE_KEY[2])).unionByName(edge_rows(6)))
+    monkeypatch.setattr(batches, "read", lambda *a, **k: pytest.fail("a batch read a table"))
+    query = edges.collect_edges(feed.stream(), store, str(tmp_path / "cp"))
+    query.awaitTermination()
+    seen = [p for p in query.recentProgress if p["numInputRows"]]
+    monkeypatch.undo()
+    assert [p["numInputRows"] for p in seen] == [46] * 10
+    updated = [p["stateOperators"][0]["numRowsUpdated"] for p in seen]
+    common = lineage.dedup_edges(edge_rows(6)).count()
+    assert updated == [20 + common] * 10
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in seen] == [20 * n + common for n in range(1, 11)]
+    assert edges.read_edges(spark, store).count() == 200 + common
 
 
 def test_edge_stream_deduplicates(spark, feed, edge_rows, tmp_path):
@@ -95,6 +114,59 @@ def test_stream_upsert_equals_batch(spark, feed, tmp_path):
     assert Counter(r.action for r in results.collect()) == Counter(created=3, updated=2)
 
 
+def test_a_batch_prunes_the_buckets_it_does_not_touch(spark, feed, tmp_path):
+    store, ddl = str(tmp_path / "store"), "pid STRING, name STRING, seq BIGINT"
+    feed(spark.range(500).select(F.concat(F.lit("p"), "id").alias("pid"), F.lit("0").alias("name"), F.col("id").alias("seq")))
+    upsert.stream_upsert(feed.stream(), store, str(tmp_path / "cp")).awaitTermination()
+    small = spark.createDataFrame([("p7", "1", 900), ("new", "1", 901)], ddl)
+    some = buckets.touched(small, ["pid"], upsert.BUCKETS)
+    assert 1 <= len(some) <= 2
+    stored = buckets.read(spark, f"{store}/rows", "pid STRING, name STRING", before=1, buckets=some)
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    filters = next(line for line in plan.splitlines() if "PartitionFilters" in line).split("PartitionFilters")[1]
+    assert "bucket" in filters and "batch_id" in filters
+    read = {r[0] for r in stored.select(F.regexp_extract(F.input_file_name(), "bucket=([0-9]+)", 1)).distinct().collect()}
+    assert read <= set(map(str, some)) and 0 < stored.count() < 60
+    feed(small)
+    upsert.stream_upsert(feed.stream(), store, str(tmp_path / "cp")).awaitTermination()
+    results = upsert.read_results(spark, store, f"{ddl}, action STRING, error STRING").filter("batch_id = 1")
+    assert {r.pid: r.action for r in results.collect()} == {"p7": "updated", "new": "created"}
+
+
+def test_a_compacted_store_goes_on(spark, feed, tmp_path):
+    """Compaction of some buckets, then of all, between batches of a stream; the store and the accounting don't change."""
+    store, checkpoint, ddl = str(tmp_path / "store"), str(tmp_path / "cp"), "pid STRING, name STRING"
+    batch = lambda n: spark.range(40).select(
+        F.concat(F.lit("p"), F.col("id") * (n + 1) % 50).alias("pid"), F.lit(str(n)).alias("name"), F.col("id").alias("seq"))
+    everything = spark.createDataFrame([], ddl)
+    for n in range(4):
+        feed(batch(n))
+        upsert.stream_upsert(feed.stream(), store, checkpoint, count=8).awaitTermination()
+        everything = merge.upsert_store(everything, batch(n))
+        if n == 1:
+            upsert.compact_store(spark, store, ddl, upto=1, only=[0, 3, 5], count=8)
+        if n == 2:
+            upsert.compact_store(spark, store, ddl, upto=2, count=8)
+            upsert.compact_store(spark, store, ddl, upto=2, count=8)
+        got = {r.pid: r.name for r in upsert.read_store(spark, store, ddl).collect()}
+        assert got == {r.pid: r.name for r in everything.collect()}
+    files = [r[0] for r in buckets.read(spark, f"{store}/rows", ddl).select(F.input_file_name()).distinct().collect()]
+    assert not any(f"batch_id={n}/" in f for f in files for n in range(3)) and any("batch_id=3/" in f for f in files)
+    results = upsert.read_results(spark, store, f"{ddl}, seq BIGINT, action STRING, error STRING")
+    assert results.filter("action = 'created'").select("pid").distinct().count() == results.filter("action = 'created'").count() == len(got)
+
+
+def test_a_retried_bucket_batch_applies_once(spark, tmp_path):
+    path, ddl = str(tmp_path / "rows"), "pid STRING, name STRING"
+    buckets.create(spark, path, ddl)
+    assert buckets.read(spark, path, ddl).count() == 0
+    rows = spark.createDataFrame([("a", "1"), ("b", "1")], ddl)
+    for _ in range(2):
+        buckets.write(rows, path, 0, ["pid"], 4)
+    assert buckets.read(spark, path, ddl, before=0).count() == 0
+    assert sorted((r.pid, r.batch_id) for r in buckets.read(spark, path, ddl, before=1).collect()) == [("a", 0), ("b", 0)]
+
+
 def test_incremental_sync(spark, feed, load_documents, connectors, tmp_path):
     store, checkpoint = str(tmp_path / "store"), str(tmp_path / "cp")
     shorter = users()
@@ -172,7 +244,7 @@ def test_timeouts_of_any_length_are_kept(spark, feed, tmp_path):
     """Neither a second nor three hours is altered; an end on the deadline is in time."""
     events = spark.createDataFrame(
         [(1, "start", 0, 1), (2, "start", 0, 10800), (2, "end", 10799, None), (3, "start", 0, 10800), (3, "end", 10801, None),
-         (4, "start", 0, 10800), (4, "end", 10800, None), (5, "start", 0, 0), (6, "start", 90000, 60)],
+         (4, "start", 0, 10800), (4, "end", 10800, None), (5, "start", 0, 0), (6, "start", 90000, 60), (7, "end", 90000, None)],
         "run_id INT, kind STRING, at INT, timeout_seconds INT")
     feed(events.withColumn("ts", F.timestamp_seconds(F.col("at") + 1_700_000_000)))
     stream = feed.stream()
@@ -183,3 +255,20 @@ def test_timeouts_of_any_length_are_kept(spark, feed, tmp_path):
     (timed_out.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
      .trigger(availableNow=True).start().awaitTermination())
     assert {r.run_id: r.timeout_seconds for r in spark.read.parquet(out).collect()} == {1: 1, 3: 10800, 5: 0}
+
+
+def test_ends_that_run_ahead_make_no_start_late(spark, feed, tmp_path):
+    """The first batch's ends are hours ahead of the second's starts, whose timeouts come out all the same."""
+    ddl = "run_id INT, kind STRING, at INT, timeout_seconds INT"
+    first = [(1, "start", 0, 60), (2, "start", 5, 9000), (2, "end", 8000, None), (1, "end", 7000, None)]
+    second = [(3, "start", 400, 60), (4, "start", 500, 30), (4, "end", 510, None), (5, "start", 20000, 1), (5, "end", 20001, None)]
+    for rows in (first, second):
+        feed(spark.createDataFrame(rows, ddl).withColumn("ts", F.timestamp_seconds(F.col("at") + 1_700_000_000)))
+    stream = feed.stream()
+    timed_out = timeouts.stream_run_timeouts(
+        stream.filter("kind = 'start'").withColumnRenamed("ts", "started_at"),
+        stream.filter("kind = 'end'").withColumnRenamed("ts", "ended_at").select("run_id", "ended_at"))
+    out = str(tmp_path / "out")
+    (timed_out.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
+     .trigger(availableNow=True).start().awaitTermination())
+    assert {r.run_id for r in spark.read.parquet(out).collect()} == {1, 3}

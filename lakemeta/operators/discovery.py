@@ -192,9 +192,13 @@ def build_catalog(raw: RawMetadata, schemas: DataFrame,
         indexes=assemble_indexes(within(raw.index_info)))
 
 
-def nest_tables(catalog: Catalog, columns_per_part: int = fx.MAX_COLUMNS_PER_TABLE) -> DataFrame:
+def nest_tables(catalog: Catalog, columns_per_part: int = fx.MAX_COLUMNS_PER_TABLE,
+                connectors: DataFrame | None = None) -> DataFrame:
     """One row per table holding its columns, key, foreign keys and indexes.
 
+    A schema without tables has a row with no table name. So does each of ``connectors`` (connector_id) that
+    has no schema, with no schema name either: that it was looked at and nothing was found.
+
     A table whose ordinals pass ``columns_per_part`` has further rows, numbered by ``part``, with the
     columns of those ordinals and nothing else; every column is in exactly one part. Nesting stops at
     table grain; schemas and databases stay ordinary groupings of these rows.
@@ -216,6 +220,12 @@ def nest_tables(catalog: Catalog, columns_per_part: int = fx.MAX_COLUMNS_PER_TAB
               .join(members(catalog.foreign_keys, "foreign_keys", "constraint_name"), TABLE_KEY, "left")
               .join(members(catalog.indexes, "indexes", "index_name"), TABLE_KEY, "left")
               .unionByName(further, allowMissingColumns=True))
+    heads = catalog.schemas.select(*SCHEMA_KEY).join(catalog.tables.select(*SCHEMA_KEY).distinct(), SCHEMA_KEY, "left_anti")
+    if connectors is not None:
+        found = catalog.schemas.select("connector_id").distinct()
+        heads = heads.unionByName(connectors.select("connector_id").distinct().join(found, "connector_id", "left_anti"),
+                                  allowMissingColumns=True)
+    nested = nested.unionByName(heads.withColumn("part", F.lit(0)), allowMissingColumns=True)
     for name in ("columns", "foreign_keys", "indexes"):
         nested = nested.withColumn(name, F.coalesce(F.col(name), F.array()))
     return nested

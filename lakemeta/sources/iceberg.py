@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemeta.functions.datatypes import parse_iceberg_type
+from lakemeta.session import materialize
+from lakemeta.sources.files import file_path, list_files
 
 _METADATA = """`current-schema-id`: INT,
  schemas: ARRAY<STRUCT<`schema-id`: INT, fields: ARRAY<STRUCT<
@@ -20,30 +22,35 @@ _DOCUMENT = f"STRUCT<metadata: STRUCT<{_METADATA}>, {_METADATA}>"
 _FIELDS = ["current-schema-id", "schemas", "partition-specs", "sort-orders", "properties", "snapshots"]
 
 
+def current_versions(spark: SparkSession, path: str) -> DataFrame:
+    """(namespace, table_name, path): each table's metadata file of the highest version, from names alone.
+
+    Files lie at ``<namespace parts>/<table>/metadata/<version>.metadata.json``.
+    """
+    inside = F.col("inside")
+    name = F.try_element_at(inside, F.lit(-1))
+    located = list_files(spark, path, "*.metadata.json").select(
+        F.array_join(F.slice(inside, F.lit(1), F.greatest(F.size(inside) - 3, F.lit(0))), ".").alias("namespace"),
+        F.try_element_at(inside, F.lit(-3)).alias("table_name"),
+        F.struct(F.regexp_extract(name, r"^v?(\d+)", 1).try_cast("bigint").alias("version"), name.alias("name")).alias("_version"),
+        "path")
+    return located.groupBy("namespace", "table_name").agg(F.max_by("path", "_version").alias("path"))
+
+
 def read_iceberg_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """The current metadata document of every table under ``path``.
+    """(namespace, table_name, document): the current metadata document of every table under ``path``.
 
-    Files lie at ``<namespace parts>/<table>/metadata/<version>.metadata.json``; the highest
-    version of a table is its current one.
+    In two steps: the newest version of each table is picked from the listing, then only those files are read. The
+    driver, which lists the folder anyway, holds one path a table. A folder without tables gives no rows.
     """
-    files = (spark.read.option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.metadata.json")
-             .text(path, wholetext=True)
-             .select(F.col("value").alias("document"), F.col("_metadata.file_path").alias("file")))
-    parts = F.split(F.regexp_replace("file", r"^.*?" + _quoted(path.rstrip("/")) + "/+", ""), "/")
-    name = F.try_element_at(parts, F.lit(-1))
-    located = files.select(
-        F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 3), ".").alias("namespace"),
-        F.try_element_at(parts, F.lit(-3)).alias("table_name"),
-        F.struct(F.regexp_extract(name, r"^v?(\d+)", 1).try_cast("bigint").alias("version"),
-                 name.alias("name")).alias("_version"),
-        "document")
-    return located.groupBy("namespace", "table_name").agg(
-        F.max_by("document", "_version").alias("document"))
-
-
-def _quoted(text: str) -> str:
-    return "\\Q" + text.removeprefix("file:") + "\\E"
+    found = materialize(current_versions(spark, path), "iceberg-versions")
+    paths = [r.path for r in found.select("path").toLocalIterator()]
+    if not paths:
+        return found.select("namespace", "table_name", F.col("path").alias("document")).limit(0)
+    documents = spark.read.text(paths, wholetext=True).select(
+        F.regexp_replace(file_path(), "^file:/+", "file:/").alias("path"), F.col("value").alias("document"))
+    return (found.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")).join(documents, "path")
+            .select("namespace", "table_name", "document"))
 
 
 def parse_documents(documents: DataFrame) -> DataFrame:

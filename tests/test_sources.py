@@ -1,6 +1,8 @@
 import json
 from decimal import Decimal
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from builders import database, schema, users
@@ -98,3 +100,40 @@ def test_snapshot_ids_come_back_as_given_and_empty_tables_load(spark, load_docum
     loaded = snapshots.load_catalog(spark, path)
     assert {r.connector_id for r in loaded.tables.collect()} == {"007"} and loaded.columns.count() == 3
     assert loaded.foreign_keys.count() == loaded.indexes.count() == 0
+
+
+def test_a_lake_is_listed_and_scanned_once_a_schema(spark, tmp_path):
+    """Eleven tables of three schemas, in files and folders, one of them empty: three scans, and no list of names given."""
+    folder = tmp_path / "lake"
+    for n in range(6):
+        spark.range(n).selectExpr("id", "concat('x', repeat('y', cast(id AS INT))) AS name").write.parquet(f"{folder}/a{n}.parquet")
+    for n in range(4):
+        spark.range(3).selectExpr("cast(id AS INT) AS k", "nullif(id, 1) AS v").write.parquet(f"{folder}/b {n}.parquet")
+    pq.write_table(pa.table({"only": [1.5, None]}), f"{folder}/single.parquet")
+    profiles = lake.profile_lake(spark, str(folder))
+    plan = profiles._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 3
+    rows = {r.table_name: r for r in lake.lake_tables(profiles).collect()}
+    assert {k: r.estimated_row_count for k, r in rows.items()} == {f"a{n}": n for n in range(6)} | {f"b {n}": 3 for n in range(4)} | {"single": 2}
+    columns = {(r.table_name, r.column_name): r for r in lake.lake_columns(profiles).collect()}
+    assert columns["a5", "name"].character_max_length == 5 and columns["a0", "name"].character_max_length is None
+    assert [columns[f"b {n}", "v"].null_count for n in range(4)] == [1] * 4 and columns["single", "only"].has_nulls
+    assert not columns["a0", "id"].has_nulls and len(columns) == 12 + 8 + 1
+
+
+def test_only_current_iceberg_files_are_read(spark, tmp_path):
+    """Of many versions a table the newest is picked by name; the plan reads one file a table. An unreadable older one is never opened."""
+    for name, versions in {"a/b/t1": (1, 2, 10, 9), "a/t 2+": (3,), "t3": ("00001-x", "00002-y")}.items():
+        metadata = tmp_path / "ice" / name / "metadata"
+        metadata.mkdir(parents=True)
+        for v in versions:
+            (metadata / f"{'v' if isinstance(v, int) else ''}{v}.metadata.json").write_text(f'{{"v":"{v}"}}')
+        (metadata / "snap-1.avro").write_text("not metadata")
+    (tmp_path / "ice/a/b/t1/metadata/v2.metadata.json").chmod(0)
+    read = iceberg.read_iceberg_metadata(spark, str(tmp_path / "ice"))
+    got = {(r.namespace, r.table_name): r.document for r in read.collect()}
+    assert got == {("a.b", "t1"): '{"v":"10"}', ("a", "t 2+"): '{"v":"3"}', ("", "t3"): '{"v":"00002-y"}'}
+    texts = [f for f in read.inputFiles() if f.endswith(".json")]
+    assert len(texts) == 3
+    (tmp_path / "none").mkdir()
+    assert iceberg.read_iceberg_metadata(spark, str(tmp_path / "none")).count() == 0

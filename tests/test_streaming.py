@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from builders import database, orders, schema, users
-from lakemeta.model import EDGE_KEY
+from lakemeta.model import EDGE_KEY, Catalog
 from lakemeta.operators import lineage, merge
 from lakemeta.operators.discovery import nest_tables
 from lakemeta.streaming import batches, buckets, edges, sync, timeouts, upsert
@@ -204,14 +204,37 @@ def test_a_late_snapshot_is_superseded(spark, feed, load_documents, connectors,
 
 
 def test_a_connector_can_report_that_nothing_is_left(spark, feed, load_documents, connectors, tmp_path):
+    """Header rows of an empty catalog empty the listed connector, and a schema without tables keeps its container."""
     store = str(tmp_path / "store")
     whole, snaps = load_documents({"test-pg": database([schema()])}, "whole")
-    nested = nest_tables(whole).withColumn("snapshot_id", F.lit("s0"))
+    none = Catalog(*[df.limit(0) for df in whole])
+    bare = none._replace(schemas=whole.schemas)
+    listed = spark.createDataFrame([("test-pg",)], "connector_id STRING")
+    for number, cat in enumerate((whole, bare, none)):
+        feed(nest_tables(cat, connectors=listed).withColumn("snapshot_id", F.lit(f"s{number}")))
+        sync.run_incremental_sync(feed.stream(), store, str(tmp_path / "cp"), connectors, snaps).awaitTermination()
+        active = Counter(r.kind for r in sync.read_catalog_store(spark, store).filter("is_active = 'Y'").collect())
+        assert active == ({"container": 1, "entity": 3, "element": 9}, {"container": 1}, {})[number]
+    runs = {r.snapshot_id: r for r in sync.read_sync_runs(spark, store).collect()}
+    assert [runs[f"s{i}"].tables_found for i in range(3)] == [3, 0, 0]
+    assert (runs["s1"].status, runs["s1"].tables_dropped, runs["s1"].deleted) == ("COMPLETED", 3, 12)
+
+
+def test_a_failed_discovery_is_logged_and_changes_nothing(spark, feed, load_documents, connectors, tmp_path):
+    store = str(tmp_path / "store")
+    cat, snaps = load_documents({"test-pg": database([schema()]), "test-mssql": database([schema("dbo", [orders()], [])])})
+    nested = nest_tables(cat).withColumns({"snapshot_id": F.lit("s0"), "error": F.lit(None).cast("string")})
     feed(nested)
-    gone = {c: F.lit(None).cast(nested.schema[c].dataType) for c in nested.columns if c not in ("connector_id", "snapshot_id")}
-    feed(nested.limit(1).withColumns({**gone, "snapshot_id": F.lit("s1")}))
+    half = nested.filter("connector_id = 'test-pg'").limit(1).withColumn("snapshot_id", F.lit("s1"))
+    feed(half.withColumn("error", F.lit("connection refused")).unionByName(
+        nested.filter("connector_id = 'test-mssql'").limit(1).withColumns({"snapshot_id": F.lit("s1"), "error": F.lit("Job timed out after 60s")})))
     sync.run_incremental_sync(feed.stream(), store, str(tmp_path / "cp"), connectors, snaps).awaitTermination()
-    assert sync.read_catalog_store(spark, store).filter("is_active = 'Y'").count() == 0
+    runs = {(r.connector_id, r.snapshot_id): r for r in sync.read_sync_runs(spark, store).collect()}
+    assert (runs["test-pg", "s1"].status, runs["test-pg", "s1"].error) == ("FAILED", "connection refused")
+    assert (runs["test-mssql", "s1"].status, runs["test-mssql", "s1"].deleted) == ("TIMED_OUT", 0)
+    assert runs["test-pg", "s0"].status == "COMPLETED" and runs["test-pg", "s0"].error is None
+    assert all(r.duration_ms > 0 for r in runs.values())
+    assert sync.read_catalog_store(spark, store).filter("is_active = 'Y'").count() == 13 + 6
 
 
 def test_sync_of_several_connectors_in_one_batch(spark, feed, load_documents, connectors, tmp_path):

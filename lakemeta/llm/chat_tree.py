@@ -6,7 +6,8 @@ after a given history. Sorting distinct conversations by their histories' digest
 common beginning next to each other; a node belongs to the first conversation that has it, so reading
 conversation by conversation, new turns only, is the tree depth first. Each node has its place in that
 stream of tokens, the position its first token has in its conversations, and the stream intervals
-it may attend to: its ancestors and itself.
+it may attend to: its ancestors and itself. What a conversation's last turn may attend to is the
+conversation, so it is read back from the stream by those intervals.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from lakemeta.llm.token_counts import BYTE_BPE
 END = "</turn>\n"
 _ESCAPES = {"\\": "\\\\", "#": "\\h", "<": "\\l"}
 _ROLE_ESCAPES = _ESCAPES | {":": "\\c", "\n": "\\n"}
+#: Tokens of the stream that are looked up together, and places that a much requested key is dealt over.
+_BLOCK, _PLACES = 256, 64
 _PLAIN = {v[1]: k for k, v in _ROLE_ESCAPES.items()}
 
 
@@ -101,13 +104,20 @@ def with_tokens(nodes: DataFrame, name: str) -> DataFrame:
                                   "loss_begin INT, loss_end INT")
 
 
+def lookup(asked: DataFrame, rows: DataFrame, key: str, by: str) -> DataFrame:
+    """``asked`` joined with ``rows`` on ``key``. Requests are dealt over places by ``by``, and a row is copied
+    to the places that ask for it only, so a turn that very many conversations share is no hot key and no
+    row is copied more often than it is asked for."""
+    asked = asked.withColumn("place", F.pmod(F.xxhash64(by), F.lit(_PLACES)))
+    return asked.join(rows.join(asked.select(key, "place").distinct(), key), [key, "place"]).drop("place")
+
+
 @dataclass
 class ChatTree:
-    """``nodes``: the token stream, one row per node (start, ids, loss range inside them, parent, depth, rank);
-    ``paths``: (leaf, rank, path), each distinct conversation's nodes from the root; ``members``: (conv_id, leaf)."""
+    """``nodes``: the token stream, one row per node (start, ids, loss range inside them, parent, depth, rank,
+    position, visible); ``members``: (conv_id, leaf), each conversation's last node."""
 
     nodes: DataFrame
-    paths: DataFrame
     members: DataFrame
     tokenizer: str
 
@@ -124,18 +134,21 @@ def chat_tree(conversations: DataFrame, name: str = BYTE_BPE) -> ChatTree:
     ranked = saved(numbered(leaves, [F.col("order")], "leaves").withColumnRenamed("place", "rank").drop("order"), "ranked")
     each = ranked.select("rank", F.posexplode("turns").alias("depth", "t")).select("rank", "depth", "t.*")
     nodes = each.groupBy("node").agg(F.min("rank").alias("rank"), *[F.first(c).alias(c) for c in ("depth", "parent", "role", "text")])
-    stream = running_total(with_tokens(nodes, name), ["rank", "depth"], "tokens", "stream").withColumnRenamed("before", "start")
-    stream = saved(stream, "nodes")
-    path = (ranked.select("leaf", "rank", F.posexplode("turns.node").alias("depth", "node"))
-            .join(stream.select("node", F.col("rank").alias("first_rank"), "start", "tokens", "ids", "loss_begin", "loss_end"), "node"))
-    paths = path.groupBy("leaf", "rank").agg(F.array_sort(F.collect_list(F.struct(
-        "depth", "node", "first_rank", "start", "tokens", "ids", "loss_begin", "loss_end"))).alias("path"))
-    return ChatTree(stream, paths, members.select("conv_id", "leaf"), name)
+    encoded = saved(with_tokens(nodes, name), "encoded")
+    places = running_total(encoded.select("node", "rank", "depth", "tokens"), ["rank", "depth"], "tokens", "stream")
+    places = saved(places.withColumnRenamed("before", "start"), "places")
+    seen = attention(ranked.select("leaf", "rank", F.posexplode("turns.node").alias("depth", "node")), places)
+    where = places.select("node", "start").join(seen, "node")
+    return ChatTree(saved(encoded.join(where, "node"), "nodes"), members.select("conv_id", "leaf"), name)
 
 
-def attention(tree: ChatTree) -> DataFrame:
+def attention(steps: DataFrame, places: DataFrame) -> DataFrame:
     """(node, position, visible): each node once, from the conversation that wrote it. ``position`` is its
-    first token's position id; ``visible`` the stream intervals of its ancestors and itself, neighbours merged."""
+    first token's position id; ``visible`` the stream intervals of its ancestors and itself, neighbours merged.
+
+    ``steps`` are the (leaf, rank, depth, node) of every distinct conversation, ``places`` the (node, rank, start,
+    tokens) of the stream; a node is written by the conversation of its own rank. No steps give no rows.
+    """
     def each(batches):
         for batch in batches:
             nodes, positions, visible = [], [], []
@@ -155,14 +168,19 @@ def attention(tree: ChatTree) -> DataFrame:
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(positions, pa.int64()), pa.array(visible, kind)],
                                              names=["node", "position", "visible"])
-    slim = tree.paths.select("rank", F.transform("path", lambda s: F.struct(
-        s["node"].alias("node"), s["first_rank"].alias("first_rank"), s["start"].alias("start"), s["tokens"].alias("tokens"))).alias("path"))
-    return slim.mapInArrow(each, "node BINARY, position BIGINT, visible ARRAY<STRUCT<begin: BIGINT, end: BIGINT>>")
+    found = lookup(steps, places.select("node", F.col("rank").alias("first_rank"), "start", "tokens"), "node", "leaf")
+    paths = found.groupBy("leaf", "rank").agg(F.array_sort(F.collect_list(F.struct(
+        "depth", "node", "first_rank", "start", "tokens"))).alias("path"))
+    return paths.select("rank", "path").mapInArrow(
+        each, "node BINARY, position BIGINT, visible ARRAY<STRUCT<begin: BIGINT, end: BIGINT>>")
 
 
 def read_back(tree: ChatTree) -> DataFrame:
-    """(conv_id, formatted, turns, loss): every conversation again, from the tokens on its path: the formatted
-    text, its turns with escapes undone, and the texts under the loss mask joined together."""
+    """(conv_id, formatted, turns, loss): every conversation again, from the tokens its last turn may attend to:
+    the formatted text, its turns with escapes undone, and the texts under the loss mask joined together.
+
+    Intervals meet the stream block by block; a node belongs to the block of its first token.
+    """
     name = tree.tokenizer
 
     def each(batches):
@@ -179,8 +197,15 @@ def read_back(tree: ChatTree) -> DataFrame:
             kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column("leaf"), pa.array(formatted, pa.string()), pa.array(turns, kind),
                                               pa.array(losses, pa.string())], names=["leaf", "formatted", "turns", "loss"])
-    texts = saved(tree.paths.mapInArrow(each, "leaf BINARY, formatted STRING, turns ARRAY<STRUCT<role: STRING, text: STRING>>, "
-                                              "loss STRING"), "read-back")
+    block = lambda c: F.expr(f"{c} div {_BLOCK}")
+    leaves = tree.nodes.join(tree.members.select(F.col("leaf").alias("node")).distinct(), "node")
+    spans = leaves.select(F.col("node").alias("leaf"), F.inline("visible"))
+    asked = spans.withColumn("block", F.explode(F.sequence(block("begin"), block("(end - 1)"))))
+    stream = tree.nodes.select(block("start").alias("block"), "start", "ids", "loss_begin", "loss_end")
+    found = lookup(asked, stream, "block", "leaf").filter("start >= begin AND start < end")
+    paths = found.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("start", "ids", "loss_begin", "loss_end"))).alias("path"))
+    texts = saved(paths.mapInArrow(each, "leaf BINARY, formatted STRING, turns ARRAY<STRUCT<role: STRING, text: STRING>>, "
+                                         "loss STRING"), "read-back")
     return tree.members.join(texts, "leaf").drop("leaf")
 
 

@@ -1,8 +1,9 @@
 """Quality rules as a ledger: every rule is evaluated once, failures are kept as bits.
 
 ``ledger`` measures each text and sets bit k of ``failures`` where rule k fails. A policy is a mask of
-rules under a version number; applying one, or comparing several, reads the ledger and never the texts. Only
-DataFrame expressions: words, windows and lines live in arrays of their row, so nothing is shuffled.
+rules under a version number. Once the ledger is saved, applying a policy, comparing several and
+computing ablations read its bits and never the texts. Only DataFrame expressions: words, windows and lines
+live in arrays of their row, so measuring shuffles nothing.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemeta.llm.common import documents
+from lakemeta.llm.common import documents, saved
 
 _SPACES = " \t\n\x0b\f\r"
 _SYMBOLS = "[#*$%&|<>]"
@@ -86,6 +87,12 @@ def apply_policy(found: DataFrame, version: int) -> DataFrame:
     return found.withColumn("kept", F.col("failures").bitwiseAND(mask(version)) == 0)
 
 
+def sole_rule(version: int) -> Column:
+    """The one rule of the policy that a row fails; null where it fails none or several."""
+    bits = F.col("failures").bitwiseAND(mask(version))
+    return F.coalesce(*[F.when(bits == bit(rule), rule) for rule in POLICIES[version]])
+
+
 def ablation(found: DataFrame, version: int) -> DataFrame:
     """Per rule of a policy: rows that fail it, rows that fail nothing else, and rows kept without it.
 
@@ -100,11 +107,25 @@ def ablation(found: DataFrame, version: int) -> DataFrame:
                                     total((F.col("bits") == 0) | (F.col("bits") == F.col("bit"))).alias("kept_without"))
 
 
+def judged(docs: DataFrame, base: int, version: int) -> DataFrame:
+    """Each row of the ledger of ``docs`` under two policies and what the ablation says of it.
+
+    ``base_failed`` is the verdict of policy ``base``; ``kept`` asks for both. ``sole_rule`` is the rule that alone
+    keeps a row out of policy ``version``, and ``kept_without`` the number of rows that policy would keep if it
+    dropped that rule. The ledger is written once; everything else is read from it. An empty table gives no rows.
+    """
+    found = saved(ledger(docs), "ledger")
+    without = ablation(found, version).select(F.col("rule").alias("sole_rule"), "kept_without")
+    rows = apply_policy(found, base).withColumnRenamed("kept", "base_kept")
+    rows = apply_policy(rows, version).withColumn("sole_rule", sole_rule(version))
+    rows = rows.join(F.broadcast(without), "sole_rule", "left")  # a row for each rule of the policy
+    return rows.withColumn("base_failed", ~F.col("base_kept")).withColumn("kept", F.col("kept") & F.col("base_kept"))
+
+
 def op6_quality_rules(spark, sf_dir):
-    found = apply_policy(ledger(documents(spark, sf_dir)), 2)
-    base = F.col("failures").bitwiseAND(mask(1)) != 0
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                        base.alias("base_failed"), (~base & F.col("kept")).alias("kept"))
+    return judged(documents(spark, sf_dir), 1, 2).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "sole_rule", "kept_without")
 
 
 OP6_SQL = r"""
@@ -124,9 +145,15 @@ measured AS (
            len(regexp_extract_all(w.text, '[#*$%&|<>]')) AS n_symbols,
            len(l.l) AS n_lines, len(l.l) - len(list_distinct(l.l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
     FROM words w JOIN lines l USING (doc_id) LEFT JOIN covered c USING (doc_id)),
-judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND 10 * n_symbols <= 3 * n_words AND 2 * n_dup_lines <= n_lines
-       AND word_chars BETWEEN 2 * n_words AND 20 * n_words AS kept
-FROM judged
+bits AS (SELECT *, (n_words < 20)::INT AS few_words, (100 * n_repeat_words > 30 * n_words)::INT AS repeats,
+    (10 * n_symbols > 3 * n_words)::INT AS symbols, (2 * n_dup_lines > n_lines)::INT AS duplicate_lines,
+    (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT AS word_length FROM measured),
+judged AS (SELECT *, few_words + repeats + symbols + duplicate_lines + word_length AS failed FROM bits),
+named AS (SELECT *, CASE WHEN failed = 1 THEN CASE WHEN few_words = 1 THEN 'few_words' WHEN repeats = 1 THEN 'repeats'
+    WHEN symbols = 1 THEN 'symbols' WHEN duplicate_lines = 1 THEN 'duplicate_lines' ELSE 'word_length' END END AS sole_rule
+    FROM judged)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_words + repeats > 0 AS base_failed,
+       failed = 0 AS kept, sole_rule, CASE WHEN failed = 1 THEN count(*) OVER (PARTITION BY sole_rule)
+         + count(*) FILTER (failed = 0) OVER () END AS kept_without
+FROM named
 """

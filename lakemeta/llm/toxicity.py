@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lakemeta.llm.common import documents, row_and, row_groups, utf8
 
-WINDOW, STRIDE = 64, 56
+WINDOW, STRIDE = 64, 32
 _WORD_DIM = _CHAR_DIM = _STATE = 8
 _BUCKET_BITS = 15
 _EDGES = ".,;:!?\"'`()[]{}<>#*$%&|/\\-_=+~^@…«»„“”‘’"

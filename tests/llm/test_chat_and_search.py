@@ -5,6 +5,7 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lakemeta.llm import chat_tree as chat
 from lakemeta.llm import topk_search as search
@@ -59,9 +60,7 @@ def test_shared_turns_are_written_once_depth_first(tree):
 
 def test_positions_and_attention(tree):
     nodes = {bytes(n.node): n for n in tree.nodes.collect()}
-    rows = chat.attention(tree).collect()
-    assert sorted(bytes(r.node) for r in rows) == sorted(nodes)
-    for r in rows:
+    for r in nodes.values():
         path, node = [], nodes[bytes(r.node)]
         while node is not None:
             path.append(node)
@@ -72,6 +71,27 @@ def test_positions_and_attention(tree):
         assert all(a.end < b.begin for a, b in zip(r.visible, r.visible[1:], strict=False))
 
 
+def test_conversations_are_read_by_their_intervals(tree):
+    """Without its intervals a conversation can't be read, whatever else the tree knows."""
+    blind = chat.ChatTree(tree.nodes.withColumn("visible", F.slice("visible", 1, 1)), tree.members, tree.tokenizer)
+    want = expected_turns()
+    several = {bytes(n.node) for n in tree.nodes.filter("size(visible) > 1").collect()}
+    leaves = {r.conv_id: bytes(r.leaf) for r in tree.members.collect()}
+    cut = [c for c, leaf in leaves.items() if leaf in several]
+    assert cut
+    found = {r.conv_id: r for r in chat.read_back(blind).collect()}
+    for c in leaves:
+        assert ([(t.role, t.text) for t in found[c].turns] != want[c]) == (c in cut)
+
+
+def test_each_turn_is_encoded_once(spark, monkeypatch):
+    """The stream is ordered from what was encoded and written, so sorting it does not run the encoder again."""
+    plans, keep = {}, chat.saved
+    monkeypatch.setattr(chat, "saved", lambda df, name: plans.update({name: df._jdf.queryExecution().toString()}) or keep(df, name))
+    chat.chat_tree(spark.createDataFrame(conversations(), "conv_id BIGINT, turn BIGINT, role STRING, text STRING"))
+    assert "MapInArrow" in plans["encoded"] and "MapInArrow" not in plans["places"]
+
+
 def test_no_conversations(spark):
     empty = spark.createDataFrame([], "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
     assert chat.read_back(chat.chat_tree(empty)).count() == 0

@@ -10,7 +10,7 @@ import xxhash
 
 from lakemeta.llm import simhash
 from lakemeta.llm.components import components
-from lakemeta.llm.quality_rules import RULES, ablation, apply_policy, bit, ledger
+from lakemeta.llm.quality_rules import POLICIES, RULES, ablation, apply_policy, bit, judged, ledger, mask
 
 from .conftest import awkward_texts
 
@@ -47,6 +47,23 @@ def test_policies_and_ablation(spark):
         assert found[rule].failed_alone == 10 and found[rule].kept_without == 20
 
 
+def test_judged_from_a_ledger_written_once(spark, awkward, no_documents, capsys):
+    """Ablation and both policies over the bits of real texts, without reading these again."""
+    rows = spark.createDataFrame(awkward_texts() + MESSY, "doc_id BIGINT, text STRING")
+    bits = [r.failures for r in ledger(rows).collect()]
+    found = judged(rows, 1, 2)
+    for r in found.collect():
+        assert r.base_failed == bool(r.failures & mask(1)) and r.kept == (r.failures == 0)
+        sole = [rule for rule in POLICIES[2] if r.failures == bit(rule)]
+        assert r.sole_rule == (sole[0] if sole else None)
+        assert r.kept_without == (sum(b in (0, r.failures) for b in bits) if sole else None)
+    assert found.filter("sole_rule IS NOT NULL").count() > 0 and found.filter("kept").count() > 0
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "ledger-" in plan and "text" not in plan and "Python" not in plan and "ExistingRDD" not in plan
+    assert judged(awkward, 1, 2).count() == awkward.count() and judged(no_documents, 1, 2).count() == 0
+
+
 def test_no_python_in_the_ledger(awkward, capsys):
     ledger(awkward).explain("extended")
     assert "Python" not in capsys.readouterr().out

@@ -86,6 +86,71 @@ def diff_status(old: DataFrame, new: DataFrame, keys: list[str], fields: list[st
     return pairs.select(*keys, _status(_any([_differs(pairs, f) for f in fields])).alias("status"))
 
 
+def _digests(side: DataFrame, keys: list[str], fields: list[str], width: int) -> DataFrame:
+    """Per hash bucket of the keys: rows, and the XOR of two digests of each row, whose fields count as ``_differs``
+    compares them."""
+    def cell(field: str) -> Column:
+        if isinstance(side.schema[field].dataType, T.StringType):
+            return F.nullif(F.col(field), F.lit(""))
+        return F.col(field)
+    cells = [F.coalesce(F.xxhash64(F.lit(i), cell(c)), F.lit(0)) for i, c in enumerate(fields)]
+    missing = [cell(c).isNull() for c in fields]
+    row = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), *keys, *cells, *missing))
+    return side.groupBy(_bucket(keys, width)).agg(
+        F.count("*").alias("rows"), row(1).alias("first"), row(2).alias("second"))
+
+
+def _bucket(keys: list[str], width: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(width)).alias("bucket")
+
+
+def _in_buckets(side: DataFrame, keys: list[str], changed: DataFrame, width: int, how: str) -> DataFrame:
+    """The rows of a side inside or outside buckets, at most ``width`` numbers."""
+    return side.withColumn("_bucket", _bucket(keys, width)).join(
+        F.broadcast(changed.select(F.col("bucket").alias("_bucket"))), "_bucket", how).drop("_bucket")
+
+
+def changed_buckets(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str],
+                    levels: tuple[int, ...] = (1024, 64)) -> DataFrame:
+    """(bucket) of the last level whose rows differ between two sides.
+
+    A tree of digests: both sides are reduced to one row per bucket, map-side; buckets that differ are divided by the
+    next level's number and only their rows are digested again. Key and field types are those of ``new``.
+    """
+    width, changed = 1, None
+    old = old.select(*[F.col(c).cast(new.schema[c].dataType).alias(c) for c in (*keys, *fields)])
+    new = new.select(*keys, *fields)
+    for parts in levels:
+        if changed is not None:
+            old, new = (_in_buckets(side, keys, changed, width, "left_semi") for side in (old, new))
+        width *= parts
+        a, b = (_digests(side, keys, fields, width) for side in (old, new))
+        values = [F.struct(f"{side}.rows", f"{side}.first", f"{side}.second") for side in ("a", "b")]
+        pairs = a.alias("a").join(b.alias("b"), F.col("a.bucket") == F.col("b.bucket"), "full_outer")
+        differing = pairs.filter(~values[0].eqNullSafe(values[1]))
+        changed = materialize(differing.select(F.coalesce("a.bucket", "b.bucket").alias("bucket")), "changed-buckets")
+    return changed
+
+
+def digest_diff(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str], unchanged: bool = True,
+                levels: tuple[int, ...] = (1024, 64)) -> DataFrame:
+    """``snapshot_diff`` of unique keys for sides that are mostly equal: only buckets whose digests differ are shuffled
+    and joined, all other rows of ``new`` pass by as unchanged, or are left out if ``unchanged`` is false.
+
+    Two equal 64-bit digests and equal counts make buckets equal. Types that differ are compared as those of ``new``.
+    """
+    width = reduce(lambda a, b: a * b, levels)
+    changed = changed_buckets(old, new, keys, fields, levels)
+    old = old.select(*[F.col(c).cast(new.schema[c].dataType).alias(c) for c in (*keys, *fields)])
+    inside = [_in_buckets(side, keys, changed, width, "left_semi") for side in (old, new)]
+    found = snapshot_diff(*inside, keys, fields)
+    if not unchanged:
+        return found.filter(F.col("status") != UNCHANGED)
+    rest = _in_buckets(new.select(*keys), keys, changed, width, "left_anti")
+    kind = found.schema["changes"].dataType
+    return found.unionByName(rest.withColumn("status", F.lit(UNCHANGED)).withColumn("changes", F.lit(None).cast(kind)))
+
+
 def field_changes(diff: DataFrame) -> DataFrame:
     """One row per changed field of a modified row."""
     keys = [c for c in diff.columns if c not in ("status", "changes")]

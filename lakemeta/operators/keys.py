@@ -1,12 +1,17 @@
-"""Declared keys checked against the data itself."""
+"""Declared keys checked against the data itself.
+
+Each table is scanned once, whatever number of keys it holds or is referenced by: a row becomes one
+(key, value) row per key, these are counted map-side, and all tables meet in one shuffle by key and value.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class PrimaryKey(NamedTuple):
@@ -23,42 +28,82 @@ class ForeignKey(NamedTuple):
     referenced_columns: list[str]
 
 
-def _any_null(columns: list[str]):
-    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
-
+class _Use(NamedTuple):
+    """A key's columns in one table, the types in which they are compared, and whether values are referenced here."""
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    key: int
+    columns: list[str]
+    types: list[T.DataType]
+    referenced: bool = False
+
+
+def _cell(column: str, kind: T.DataType) -> Column:
+    """A text that equal values of a type share and different ones don't."""
+    value = F.col(column).cast(kind)
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        value = value + F.lit(0.0)  # -0.0 equals 0.0
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        value = F.to_json(F.struct(value))
+    return value.cast("string")
+
+
+def _unpivoted(df: DataFrame, uses: list[_Use]) -> DataFrame:
+    """(key, number, texts, has_null, referenced), one row per row and use; a single whole number stays a number."""
+    def item(use: _Use) -> Column:
+        has_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in use.columns])
+        whole = len(use.columns) == 1 and isinstance(use.types[0], T.IntegralType)
+        number = F.when(~has_null, F.col(use.columns[0])) if whole else F.lit(None)
+        texts = F.lit(None) if whole else F.when(~has_null, F.array(*map(_cell, use.columns, use.types)))
+        return F.struct(F.lit(use.key).alias("key"), number.cast("bigint").alias("number"),
+                        texts.cast("array<string>").alias("texts"), has_null.alias("has_null"),
+                        F.lit(use.referenced).alias("referenced"))
+    return df.select(F.inline(F.array(*map(item, uses))))
+
+
+def _counted(tables: dict[str, DataFrame], uses: dict[str, list[_Use]]) -> DataFrame:
+    """Per key and value: rows that hold it and whether it is referenced; all rows with a null are one value."""
+    rows = reduce(DataFrame.unionByName, [_unpivoted(tables[name], of) for name, of in uses.items()])
+    return rows.groupBy("key", "has_null", "number", "texts").agg(
+        F.count_if(~F.col("referenced")).alias("rows"), F.max("referenced").alias("referenced"))
+
+
+def _totals(found: DataFrame, keys: list[PrimaryKey] | list[ForeignKey], totals: dict[str, Column]) -> DataFrame:
+    """Sums per declared key, zero where no row counts."""
+    declared = found.sparkSession.range(len(keys)).select(
+        F.col("id").cast("int").alias("key"), *[F.lit(0).cast("bigint").alias(c) for c in totals])
+    summed = (found.select("key", *[c.cast("bigint").alias(n) for n, c in totals.items()]).unionByName(declared)
+              .groupBy("key").agg(*[F.sum(c).alias(c) for c in totals]))
+    named = lambda texts: F.get(F.array(*map(F.lit, texts)), F.col("key"))
+    return summed.select(named([k.table for k in keys]).alias("table_name"),
+                         named([k.name for k in keys]).alias("constraint_name"), *totals)
 
 
 def check_primary_keys(tables: dict[str, DataFrame], keys: list[PrimaryKey]) -> DataFrame:
     """Per declared key: distinct values that repeat, rows beyond the first, rows with a null."""
-    def check(key: PrimaryKey) -> DataFrame:
-        values = tables[key.table].groupBy(*key.columns).agg(F.count("*").alias("_rows"))
-        has_null = _any_null(key.columns)
-        repeats = ~has_null & (F.col("_rows") > 1)
-        zero = F.lit(0).cast("bigint")
-        return values.agg(
-            F.count_if(repeats).alias("duplicate_keys"),
-            F.coalesce(F.sum(F.when(repeats, F.col("_rows") - 1)), zero).alias("duplicate_rows"),
-            F.coalesce(F.sum(F.when(has_null, F.col("_rows"))), zero).alias("null_rows"),
-        ).select(F.lit(key.table).alias("table_name"), F.lit(key.name).alias("constraint_name"), "*")
-    return _union([check(key) for key in keys])
+    uses: dict[str, list[_Use]] = {}
+    for number, key in enumerate(keys):
+        kinds = [tables[key.table].schema[c].dataType for c in key.columns]
+        uses.setdefault(key.table, []).append(_Use(number, key.columns, kinds))
+    repeats = ~F.col("has_null") & (F.col("rows") > 1)
+    return _totals(_counted(tables, uses), keys, {
+        "duplicate_keys": F.when(repeats, 1).otherwise(0),
+        "duplicate_rows": F.when(repeats, F.col("rows") - 1).otherwise(0),
+        "null_rows": F.when(F.col("has_null"), F.col("rows")).otherwise(0)})
 
 
 def check_foreign_keys(tables: dict[str, DataFrame], keys: list[ForeignKey]) -> DataFrame:
     """Per declared foreign key: distinct values without a parent, and the rows that hold them.
 
-    Child values are counted before the anti join, so a value on a third of all rows joins once.
+    Values and parents are compared in the type that a union of both columns has. A value on a third of all
+    rows is one row per task of the shuffle.
     """
-    def check(key: ForeignKey) -> DataFrame:
-        child = (tables[key.table].groupBy(*key.columns).agg(F.count("*").alias("_rows"))
-                 .filter(~_any_null(key.columns)))
-        parent = tables[key.referenced_table].select(
-            *[F.col(p).alias(c) for c, p in zip(key.columns, key.referenced_columns)])
-        orphans = child.join(parent, key.columns, "left_anti")
-        return orphans.agg(
-            F.count("*").alias("orphan_keys"),
-            F.coalesce(F.sum("_rows"), F.lit(0).cast("bigint")).alias("orphan_rows"),
-        ).select(F.lit(key.table).alias("table_name"), F.lit(key.name).alias("constraint_name"), "*")
-    return _union([check(key) for key in keys])
+    uses: dict[str, list[_Use]] = {}
+    for number, key in enumerate(keys):
+        child = tables[key.table].select(*key.columns)
+        parent = tables[key.referenced_table].select(*key.referenced_columns)
+        kinds = [field.dataType for field in child.union(parent).schema]
+        uses.setdefault(key.table, []).append(_Use(number, key.columns, kinds))
+        uses.setdefault(key.referenced_table, []).append(_Use(number, key.referenced_columns, kinds, True))
+    orphan = ~F.col("has_null") & ~F.col("referenced")
+    return _totals(_counted(tables, uses), keys, {
+        "orphan_keys": F.when(orphan, 1).otherwise(0), "orphan_rows": F.when(orphan, F.col("rows")).otherwise(0)})

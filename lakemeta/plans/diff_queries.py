@@ -59,6 +59,16 @@ def orders_diff_summary(spark, sf_dir):
     return diff.status_counts(diff.diff_status(*_orders(spark, sf_dir), ["o_orderkey"], _FIELDS))
 
 
+@query(f"{_ORDERS} SELECT o_orderkey, st AS status FROM j")
+def orders_digest_status(spark, sf_dir):
+    return diff.digest_diff(*_orders(spark, sf_dir), ["o_orderkey"], _FIELDS).drop("changes")
+
+
+@query(f"{_ORDERS} {_changes('j', ['o_orderkey'], _TEXT_FIELDS)}")
+def orders_digest_changes(spark, sf_dir):
+    return diff.field_changes(diff.digest_diff(*_orders(spark, sf_dir), ["o_orderkey"], _FIELDS, unchanged=False))
+
+
 # Keys that repeat: one customer key holds a third of each side; the last order wins.
 _HOT = ("SELECT CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END AS k, o_orderkey AS pos, "
         "o_orderstatus, o_orderpriority FROM {0}")

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from builders import PLAIN, active_users, column, database, orders, schema, users
 from lakemeta.operators import diff
-from lakemeta.operators.payload import delta_ops, delta_result, soft_delete_rows
+from lakemeta.operators.payload import delta_ops, delta_result, soft_delete_rows, with_outcomes
 
 
 @pytest.fixture
@@ -172,3 +172,45 @@ def test_the_last_of_repeated_names_counts(spark):
         "connector_id STRING, schema_name STRING, table_name STRING, column_name STRING, ordinal_position INT, full_data_type STRING")
     rows = diff.diff_columns(side("int", "text"), side("date", "text"), ["full_data_type"]).collect()
     assert [r.status for r in rows] == ["unchanged"]
+
+
+def test_digests_find_what_a_full_join_finds(spark):
+    rows = [(i, f"t{i % 7}" if i % 5 else None, i / 4 if i % 3 else None) for i in range(3000)]
+    old = spark.createDataFrame(rows, "k INT, t STRING, x DOUBLE")
+    touched = {5: (5, "", 1.25), 6: (6, None, None), 7: (7, "t0", None), 8: (8, "t1", -0.0), 9: None}
+    new = spark.createDataFrame([r for r in (touched.get(r[0], r) for r in rows) if r] + [(9000, "z", 1.0), (None, "n", 0.0)],
+                                "k BIGINT, t STRING, x DOUBLE")
+    want = sorted(map(repr, diff.snapshot_diff(old.withColumn("k", old.k.cast("bigint")), new, ["k"], ["t", "x"]).collect()))
+    for levels in ((1024, 64), (4,), (1, 1)):
+        assert sorted(map(repr, diff.digest_diff(old, new, ["k"], ["t", "x"], levels=levels).collect())) == want
+    changed = diff.digest_diff(old, new, ["k"], ["t", "x"], unchanged=False)
+    assert sorted(map(repr, changed.collect())) == [r for r in want if "unchanged" not in r]
+    swapped = spark.createDataFrame([(1, None, "a"), (2, "a", None)], "k INT, t STRING, u STRING")
+    assert diff.changed_buckets(swapped, swapped.toDF("k", "u", "t"), ["k"], ["t", "u"]).count() == 2
+
+
+def test_equal_sides_shuffle_digests_only(spark, tmp_path, capsys):
+    spark.range(20000).selectExpr("id AS k", "concat('v', id) AS v").write.parquet(f"{tmp_path}/t")
+    side = spark.read.parquet(f"{tmp_path}/t")
+    one = side.withColumn("v", F.when(F.col("k") == 77, "new").otherwise(F.col("v")))
+    assert diff.changed_buckets(side, side, ["k"], ["v"]).count() == 0
+    buckets = diff.changed_buckets(side, one, ["k"], ["v"])
+    assert buckets.count() == 1
+    inside = diff._in_buckets(side, ["k"], buckets, 1024 * 64, "left_semi")
+    assert inside.count() < 10
+    diff._in_buckets(side, ["k"], buckets, 1024 * 64, "left_anti").explain("formatted")
+    text = capsys.readouterr().out
+    assert "hashpartitioning" not in text and "BroadcastExchange" in text
+    found = diff.digest_diff(side, one, ["k"], ["v"])
+    assert found.filter("status <> 'unchanged'").collect()[0].k == 77 and found.count() == 20000
+
+
+def test_failed_operations_are_skipped(spark):
+    ops = spark.createDataFrame([("c", "s", "create", "table", "t", "T@S@A", True, None), ("c", "s", "delete", "column", "t.x", "X@T@S@A", True, None),
+                                 ("c", "s", "create", "schema", "s", "S@A", True, None)],
+                                "connector_id STRING, schema_name STRING, operation STRING, entity_type STRING, name STRING, pid STRING, "
+                                "success BOOLEAN, error STRING")
+    results = spark.createDataFrame([("T@S@A", "late"), ("T@S@A", "gone"), ("T@S@A", None), ("X@T@S@A", None), ("other", "lost")], "pid STRING, error STRING")
+    found = with_outcomes(ops, results)
+    assert {r["name"]: (r.success, r.error) for r in found.collect()} == {"t": (False, "gone"), "t.x": (True, None), "s": (True, None)}
+    assert tuple(delta_result(found).first()) == (1, 0, 1, 1) and found.columns == ops.columns

@@ -132,6 +132,24 @@ def test_declared_keys(spark):
     assert (fk.orphan_keys, fk.orphan_rows) == (1, 2)
 
 
+def test_keys_of_any_type_in_one_scan_a_table(spark, tmp_path, capsys):
+    """Composite, fractional, text and mixed keys, a table that references itself, and one without rows."""
+    rows = [(1, 1, 0.0, "a", None), (2, 2, -0.0, "b", 1), (3, None, 1.5, None, 9), (3, None, None, "a,b", 9)]
+    spark.createDataFrame(rows, "id INT, k BIGINT, x DOUBLE, t STRING, up INT").write.parquet(f"{tmp_path}/t")
+    tables = {"t": spark.read.parquet(f"{tmp_path}/t"),
+              "none": spark.createDataFrame([], "id DECIMAL(4,1)"), "pair": spark.createDataFrame([("a,b", 3)], "t STRING, id INT")}
+    key = lambda name, *columns: keys.PrimaryKey("t", name, list(columns))
+    found = keys.check_primary_keys(tables, [key("id", "id"), key("x", "x"), key("kt", "k", "t"), keys.PrimaryKey("none", "n", ["id"])])
+    assert {r.constraint_name: tuple(r)[2:] for r in found.collect()} == {
+        "id": (1, 1, 0), "x": (1, 1, 1), "kt": (0, 0, 2), "n": (0, 0, 0)}
+    refers = lambda name, columns, table, others: keys.ForeignKey("t", name, columns, table, others)
+    found = keys.check_foreign_keys(tables, [refers("self", ["up"], "t", ["id"]), refers("none", ["id"], "none", ["id"]),
+                                             refers("pair", ["t", "id"], "pair", ["t", "id"])])
+    assert {r.constraint_name: tuple(r)[2:] for r in found.collect()} == {"self": (1, 2), "none": (3, 4), "pair": (2, 2)}
+    found.explain("formatted")
+    assert capsys.readouterr().out.count("ReadSchema") == 1
+
+
 def test_a_wide_table_nests_in_parts(load_documents):
     """No column is dropped: parts hold those of their ordinals, keys stay in the first."""
     cat, _ = load_documents({"c": database()})

@@ -28,6 +28,9 @@ class ForeignKey(NamedTuple):
     referenced_columns: list[str]
 
 
+_KINDS = {"number": "bigint", "texts": "array<string>"}
+
+
 class _Use(NamedTuple):
     """A key's columns in one table, the types in which they are compared, and whether values are referenced here."""
 
@@ -47,24 +50,33 @@ def _cell(column: str, kind: T.DataType) -> Column:
     return value.cast("string")
 
 
-def _unpivoted(df: DataFrame, uses: list[_Use]) -> DataFrame:
-    """(key, number, texts, has_null, referenced), one row per row and use; a single whole number stays a number."""
+def _whole(use: _Use) -> bool:
+    return len(use.columns) == 1 and isinstance(use.types[0], T.IntegralType)
+
+
+def _unpivoted(df: DataFrame, uses: list[_Use], values: list[str]) -> DataFrame:
+    """(key, referenced, values), one row per row and use. A single whole number stays one, other keys are lists of
+    texts; with a null in it a key has no value."""
     def item(use: _Use) -> Column:
-        has_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in use.columns])
-        whole = len(use.columns) == 1 and isinstance(use.types[0], T.IntegralType)
-        number = F.when(~has_null, F.col(use.columns[0])) if whole else F.lit(None)
-        texts = F.lit(None) if whole else F.when(~has_null, F.array(*map(_cell, use.columns, use.types)))
-        return F.struct(F.lit(use.key).alias("key"), number.cast("bigint").alias("number"),
-                        texts.cast("array<string>").alias("texts"), has_null.alias("has_null"),
-                        F.lit(use.referenced).alias("referenced"))
+        if _whole(use):
+            value = {"number": F.col(use.columns[0])}
+        else:
+            complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in use.columns])
+            value = {"texts": F.when(complete, F.array(*map(_cell, use.columns, use.types)))}
+        return F.struct(F.lit(use.key).alias("key"), F.lit(use.referenced).alias("referenced"),
+                        *[value.get(v, F.lit(None)).cast(_KINDS[v]).alias(v) for v in values])
+    if len(uses) == 1:
+        return df.select(item(uses[0]).alias("use")).select("use.*")
     return df.select(F.inline(F.array(*map(item, uses))))
 
 
 def _counted(tables: dict[str, DataFrame], uses: dict[str, list[_Use]]) -> DataFrame:
     """Per key and value: rows that hold it and whether it is referenced; all rows with a null are one value."""
-    rows = reduce(DataFrame.unionByName, [_unpivoted(tables[name], of) for name, of in uses.items()])
-    return rows.groupBy("key", "has_null", "number", "texts").agg(
+    values = sorted({"number" if _whole(use) else "texts" for of in uses.values() for use in of})
+    rows = reduce(DataFrame.unionByName, [_unpivoted(tables[name], of, values) for name, of in uses.items()])
+    found = rows.groupBy("key", *values).agg(
         F.count_if(~F.col("referenced")).alias("rows"), F.max("referenced").alias("referenced"))
+    return found.withColumn("has_null", reduce(lambda a, b: a & b, [F.col(v).isNull() for v in values]))
 
 
 def _totals(found: DataFrame, keys: list[PrimaryKey] | list[ForeignKey], totals: dict[str, Column]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Toxicity scores from a small recurrent network, trained here in numpy.
+"""Toxicity scores from a small recurrent network, trained in one task by numpy.
 
 A word enters as its own vector (words seen often enough in training) joined with the mean vector of
 its character pieces, four bytes long (all words). A gated recurrent network reads each window of words in both
@@ -9,6 +9,7 @@ the best window of a toxic text, chosen anew every epoch, and random windows of
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 from itertools import islice
 
@@ -283,10 +284,10 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  label_col: str = "toxic", most_rows: int = 1500, most_bytes: int = 1 << 16) -> list[tuple]:
-    """A bounded sample of labelled texts of the fit folds: per class the ``most_rows`` ids that hash lowest
-    (two negatives for a positive), texts over ``most_bytes`` left out. A row labelled twice counts as toxic
-    if either label says so."""
+                  label_col: str = "toxic", most_rows: int = 1500, most_bytes: int = 1 << 16) -> DataFrame:
+    """(label_id, text, label): a bounded sample of labelled texts of the fit folds: per class the ``most_rows`` ids
+    that hash lowest (two negatives for a positive), texts over ``most_bytes`` left out. A row labelled twice counts
+    as toxic if either label says so."""
     known = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("label_id"))
              .agg(F.max(label_col).alias("label")).filter(~held_out(F.col("label_id"))))
     order = F.xxhash64("label_id")
@@ -294,10 +295,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
               .unionByName(known.filter("label = 0").orderBy(order, "label_id").limit(2 * most_rows)))
     rows = docs.select(F.col(id_col).alias("label_id"), F.coalesce(text_col, F.lit("")).alias("text")).filter(
         F.octet_length("text") <= most_bytes).join(picked, "label_id")
-    one = rows.groupBy("label_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
-    table = one.toArrow()
+    return rows.groupBy("label_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+
+
+def fitted(table: pa.Table) -> pa.Table:
+    """(model, level) of a sample: the network, or none and the label if there is one kind of label only."""
     texts = table["text"].cast(pa.binary()).to_pylist()
-    return sorted(zip(table["label_id"].to_pylist(), texts, table["label"].to_pylist(), strict=True))
+    rows = sorted(zip(table["label_id"].to_pylist(), texts, table["label"].to_pylist(), strict=True))
+    labels = [label for _, _, label in rows]
+    model = pickle.dumps(train([t for _, t, _ in rows], labels)) if len(set(labels)) == 2 else None
+    return pa.table({"model": pa.array([model], pa.binary()), "level": pa.array([float(max(labels))])})
 
 
 def held_out(id_):
@@ -314,9 +321,10 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scores, however rows are partitioned, and columns of any name ride along.
     """
     sample = training_rows(docs, labels, id_col, text_col, **options)
-    kinds = {label for _, _, label in sample}
-    network = train([t for _, t, _ in sample], [y for _, _, y in sample]) if len(kinds) == 2 else None
-    constant = float(max(kinds, default=0))
+    # The sample is bounded, so one task can hold it; the driver gets the parameters only.
+    found = sample.groupBy().applyInArrow(fitted, "model BINARY, level DOUBLE").first()
+    network = pickle.loads(found.model) if found and found.model else None
+    constant = found.level if found else 0.0
     model = docs.sparkSession.sparkContext.broadcast(network)
 
     def each(batches):

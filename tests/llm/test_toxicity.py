@@ -85,3 +85,14 @@ def test_scored(spark, awkward, no_documents):
     assert {r.score for r in tox.scored(awkward, known.filter("toxic = 0")).collect()} == {0.0}
     assert {r.score for r in tox.scored(awkward, known.limit(0)).collect()} == {0.0}
     assert tox.scored(no_documents, known).count() == 0
+
+
+def test_the_driver_does_not_train(spark, monkeypatch):
+    def here(*_):
+        raise AssertionError("trained in the driver")
+    monkeypatch.setattr(tox, "train", here)
+    texts, labels = corpus(160)
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING")
+    known = spark.createDataFrame(list(enumerate(labels)), "doc_id BIGINT, toxic INT")
+    scores = {r.row.doc_id: r.score for r in tox.scored(docs, known).collect()}
+    assert len(set(scores.values())) > 1

@@ -27,6 +27,15 @@ _CHUNK = 1 << 16
 _LOOKUP = 1024
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def over_half(ones: np.ndarray, count: int) -> int:
+    return int.from_bytes(np.packbits(2 * ones > count, bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """Bits set in over half of the hashes of the text's shingles; zero for no words."""
     words = text.lower().split()
@@ -39,8 +48,8 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
         pieces = map(b" ".join, zip(*(words[at + j:end + j] for j in range(shingle)), strict=True)) \
             if len(words) >= shingle else [b" ".join(words)]
         hashes = np.array([xxhash.xxh64_intdigest(p, 42) for p in pieces], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > count, bitorder="little").tobytes(), "little")
+        ones += bit_counts(hashes)
+    return over_half(ones, count)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

@@ -115,3 +115,23 @@ def test_a_large_group_that_is_not_all_alike(spark, monkeypatch):
         texts.append(" ".join(copy))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
     assert similar.without_similar(docs).count() == len(alike_groups(texts))
+
+
+def test_fingerprints_come_first(spark, monkeypatch):
+    rng, texts = random.Random(9), []
+    for k in range(10):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+        texts.append(" ".join(base))
+        for change in range(4):
+            texts.append(" ".join([*base[:change * 9], f"x{k}", *base[change * 9 + 1:]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    sets = similar.shingled(docs, "doc_id", "text", 5, similar.LEAST, 20).select("fp", "shingles").localCheckpoint()
+    lists = {r.fp: set(r.shingles) for r in sets.collect()}
+    linked = similar.fingerprint_links(sets, similar.LEAST).collect()
+    assert linked and all(len(lists[r.u] & lists[r.v]) >= 0.8 * len(lists[r.u] | lists[r.v]) for r in linked)
+    keys = similar.prefix_keys
+    monkeypatch.setattr(similar, "prefix_keys", lambda *a: keys(*a).limit(0))
+    left = corpus_pipeline.without_near_duplicates(spark, docs, "").count()
+    assert 10 <= left < len(texts)
+    monkeypatch.undo()
+    assert corpus_pipeline.without_near_duplicates(spark, docs, "").count() == 10

@@ -1,15 +1,18 @@
 """Language model scores from a probabilistic suffix tree over words.
 
-States are contexts of up to ``longest`` words. A run of words is worth counting when it makes up at least
-``share`` of the training tokens, which bounds the runs of each length by 1 / ``share`` at every size of corpus;
-every part of such a run is one too, so runs grow word by word, each length counted exactly over all texts.
+States are contexts of up to ``longest`` words. Every run of up to ``longest`` + 1 words that occurs at least twice in the
+training texts is counted exactly; every part of such a run is one too, so runs grow word by word.
 A context becomes a state if what follows it diverges from what follows its longest shorter state by more
 than its next-word entries cost. A state's distribution is smoothed towards that shorter state: its entries by a
 few pseudo counts, all other words by the shorter state's probabilities, scaled to the mass that is left. At the
 root stands every word of the training texts, with its exact count. A token's probability is that of the
 longest state that ends before it.
 
-Words are told apart by 64-bit hashes.
+A text's log probability is so a sum over its runs: a context that is a state adds what other words are raised by,
+a run after such a context what its entry differs by from that. The tree is a table of these weights, made by joins; texts
+meet it in a join too, only the weights of the most frequent runs are broadcast.
+
+Words and runs are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemeta.llm.common import documents, row_groups, saved, utf8
+from lakemeta.llm.common import FIRST, Rolling, documents, row_groups, saved, utf8
 from lakemeta.llm.window_dedup import word_sequences
 
 #: Stands for the end of a text; no word hashes to it but by chance.
 END = np.uint64(1)
-_PIECE, _HELD, _WORD_BITS = 1 << 20, 1 << 22, 24
+_PIECE, _HELD = 1 << 20, 1 << 22
+#: Runs that make up at least this share of the training tokens travel as a broadcast, at most 1 / share of each length.
+_FREQUENT = 1e-6
+#: Cells of a bitmap of runs, as a power of two; where it fills up, more runs travel to a join, with the same results.
+_MOST_BITS = 28
 
 
 def tokens(batch: pa.RecordBatch):
@@ -40,6 +47,16 @@ def tokens(batch: pa.RecordBatch):
         yield low, high, np.insert(words, limits[1:], END), limits + np.arange(len(limits))
 
 
+def runs(hashes: np.ndarray, starts: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 1 to ``longest`` + 1: the hashes of all runs inside a text, and where they begin."""
+    rolling, row = Rolling(hashes, FIRST), np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    out = [(hashes, np.arange(len(hashes)))]
+    for size in range(2, longest + 2):
+        at = np.flatnonzero(row[:max(0, len(row) - size + 1)] == row[size - 1:])
+        out.append((rolling.windows(size)[at], at))
+    return out
+
+
 def placed(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Where each value stands in a sorted table, -1 where it doesn't."""
     if not len(table):
@@ -48,77 +65,26 @@ def placed(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
-class Tree:
-    """The counted runs of each length, and what follows from them.
+class Bitmap:
+    """A bit for each hash of a table; it says no only to hashes that surely are not in it."""
 
-    ``runs[k]``: sorted codes of the runs of k + 2 words (the run without its last word, its last word), named by
-    their place; ``counts[k]``: how often each occurs. Words are named by their place in ``words``.
-    """
+    def __init__(self, keys: DataFrame):
+        self.mask = np.uint64((1 << min(_MOST_BITS, max(16, (8 * keys.count()).bit_length()))) - 1)
+        self.bits = np.zeros((int(self.mask) + 1) // 8, np.uint8)
+        cell = F.col("key").bitwiseAND(int(self.mask))
+        cells = keys.select(F.shiftright(cell, 15).cast("int").alias("chunk"), cell.bitwiseAND(32767).cast("int").alias("cell"))
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        order = np.argsort(words)
-        self.words, self.total, self.distinct = words[order], total, distinct
-        self.runs, self.counts = [], [counts[order]]
-        self.floor = np.log(0.1) - np.log(total + 0.1 * (distinct + 1))
-        self.root = np.log(self.counts[0] + 0.1) - np.log(total + 0.1 * (distinct + 1))
-
-    def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(codes)
-        self.runs.append(codes[order])
-        self.counts.append(counts[order])
-
-    def followed(self, hashes: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each length from 1: the run that ends at each token and the run that ends before it, -1 if not counted."""
-        ids = placed(self.words, hashes)
-        out, here = [], ids
-        for table in [*self.runs, None]:
-            before = np.append(-1, here[:-1])
-            before[starts[starts < len(here)]] = -1
-            out.append((here, before))
-            if table is not None:
-                both = (before >= 0) & (ids >= 0)
-                here = np.full(len(ids), -1, np.int64)
-                here[both] = placed(table, (before[both] << _WORD_BITS) | ids[both])
-        return out
-
-    def fit(self, pseudo: float) -> None:
-        """``entry[k]``: log probability of the last word of each run of k + 1 words after the others; ``rest[k]``: of runs of
-        k + 1 words as contexts, what other words' log probabilities are raised by; ``state[k]``: which of them are states."""
-        self.entry, self.rest, self.state = [self.root], [], []
-        names = [np.arange(len(self.words))[:, None]]
-        for k, codes in enumerate(self.runs):
-            context, word = codes >> _WORD_BITS, codes & ((1 << _WORD_BITS) - 1)
-            names.append(np.column_stack([names[k][context], word]))
-            inner = names[-1][:, 1]
-            for j in range(2, k + 2):
-                inner = placed(self.runs[j - 2], (inner << _WORD_BITS) | names[-1][:, j])
-            shorter = self.entry[k][inner]
-            size, hits = len(self.counts[k]), self.counts[k + 1]
-            seen = self.counts[k].astype(float)
-            chance = (hits + pseudo * np.exp(shorter)) / (seen[context] + pseudo)
-            left = 1 - np.bincount(context, chance, size)
-            left_shorter = np.maximum(1 - np.bincount(context, np.exp(shorter), size), 1e-12)
-            entries = np.bincount(context, minlength=size)
-            rest = np.log(np.maximum(left, 1e-12)) - np.log(left_shorter)
-            divergence = np.bincount(context, chance * (np.log(chance) - shorter), size) + left * rest
-            state = (entries > 0) & (seen * divergence > 0.5 * np.log(np.maximum(seen, 2)) * (entries + 1))
-            self.state.append(state)
-            self.rest.append(np.where(state, rest, 0.0))
-            self.entry.append(np.where(state[context], np.log(chance), shorter))
-
-    def scored(self, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The word each token is (-1: not in ``words``) and its log probability; of those without, less their root's."""
-        ends = self.followed(hashes, starts)
-        word = ends[0][0]
-        value = np.where(word >= 0, self.root[word] if len(self.root) else 0.0, 0.0)
-        for k in range(len(self.runs)):
-            before = ends[k][1]
-            inside = np.flatnonzero(before >= 0)
-            inside = inside[self.state[k][before[inside]]]
-            entry = ends[k + 1][0][inside]
-            value[inside] = np.where(entry >= 0, self.entry[k + 1][entry] if len(self.entry[k + 1]) else 0.0,
-                                     value[inside] + self.rest[k][before[inside]])
-        return word, value
+        def chunk(table: pa.Table) -> pa.Table:
+            has = np.zeros(32768, bool)
+            has[np.asarray(table["cell"])] = True
+            return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([np.packbits(has, bitorder="little").tobytes()], pa.binary())})
+
+        for at, part in cells.groupBy("chunk").applyInArrow(chunk, "chunk INT, bits BINARY").collect():
+            self.bits[at * 4096:(at + 1) * 4096] = np.frombuffer(part, np.uint8)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        cell = hashes & self.mask
+        return (self.bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def counted(values: DataFrame, emit, name: str) -> DataFrame:
@@ -142,45 +108,92 @@ def counted(values: DataFrame, emit, name: str) -> DataFrame:
     return values.mapInArrow(each, f"{name} BIGINT, n BIGINT").groupBy(name).agg(F.sum("n").alias("n"))
 
 
-def suffix_tree(training: DataFrame, vocabulary: DataFrame, longest: int, share: float, pseudo: float) -> Tree:
-    """The tree of ``training`` (text); ``vocabulary`` is (word, n) of all its tokens."""
-    spark = training.sparkSession
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(2, share * total)
+def run_parts(text: DataFrame, size: int, held) -> DataFrame:
+    """(key, context, inner): the runs of ``size`` words that a bitmap has, without their last and their first word."""
+    def each(batches):
+        for batch in batches:
+            for _, _, hashes, starts in tokens(batch):
+                found = runs(hashes, starts, size - 1)
+                keys, at = found[-1]
+                keys, first = np.unique(np.where(held.value.has(keys), keys, 0), return_index=True)
+                first = at[first[keys != 0]]
+                part = np.zeros(len(hashes), np.uint64)
+                part[found[-2][1]] = found[-2][0]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys[keys != 0], part[first], part[first + 1])],
+                                                 names=["key", "context", "inner"])
 
-    def large(rows, name):
-        found = rows.filter(F.col("n") >= least).toArrow()
-        return np.asarray(found[name]).astype(np.int64), np.asarray(found["n"]).astype(np.int64)
+    return text.mapInArrow(each, "key BIGINT, context BIGINT, inner BIGINT").groupBy("key").agg(
+        F.min_by(F.struct("context", "inner"), "context").alias("part")).select("key", "part.*")
 
-    words, counts = large(vocabulary, "word")
-    tree = Tree(words.view(np.uint64), counts, total, distinct)
-    for _ in range(longest):
-        held = spark.sparkContext.broadcast(tree)
 
-        def codes(batch, held=held):
-            for _, _, hashes, starts in tokens(batch):
-                ends = held.value.followed(hashes, starts)
-                word, before = ends[0][0], ends[-1][1]
-                both = (before >= 0) & (word >= 0)
-                yield (before[both] << _WORD_BITS) | word[both]
+def grown(text: DataFrame, shorter: DataFrame, size: int, least: float, pseudo: float) -> tuple[DataFrame, DataFrame]:
+    """The runs of ``size`` words that occur ``least`` times or more as (key, n, entry, gain), and the states among their contexts.
 
-        tree.add(*large(counted(training, codes, "code"), "code"))
-    tree.fit(pseudo)
-    return tree
+    ``shorter``: (key, n, entry) of the runs a word shorter. ``entry`` is the log probability of a run's last word after the
+    others, ``gain`` what it exceeds the shorter state's by, less what all words are raised by after that context: ``rest`` of
+    the states (key, rest).
+    """
+    spark = text.sparkSession
+    known = spark.sparkContext.broadcast(Bitmap(shorter.select("key")))
+
+    def longer(batch):
+        for _, _, hashes, starts in tokens(batch):
+            found = runs(hashes, starts, size - 1)
+            has = np.zeros(len(hashes), bool)
+            has[found[-2][1]] = known.value.has(found[-2][0])
+            keys, at = found[-1]
+            yield keys[has[at] & has[at + 1]]
+
+    counts = saved(counted(text, longer, "key").filter(F.col("n") >= least), "runs")
+    held = spark.sparkContext.broadcast(Bitmap(counts))
+    chance = (F.col("n") + pseudo * F.exp("shorter")) / (F.col("seen") + pseudo)
+    rows = saved(counts.join(run_parts(text, size, held), "key")
+                 .join(shorter.select(F.col("key").alias("inner"), F.col("entry").alias("shorter")), "inner")
+                 .join(shorter.select(F.col("key").alias("context"), F.col("n").alias("seen")), "context")
+                 .select("key", "n", "context", "seen", "shorter", F.log(chance).alias("own")), "entries")
+    left, left_shorter = 1 - F.sum(F.exp("own")), F.greatest(1 - F.sum(F.exp("shorter")), F.lit(1e-12))
+    rest = F.log(F.greatest(left, F.lit(1e-12))) - F.log(left_shorter)
+    seen = F.max("seen")
+    pays = seen * (F.sum(F.exp("own") * (F.col("own") - F.col("shorter"))) + left * rest) \
+        > 0.5 * F.log(F.greatest(seen, F.lit(2))) * (F.count("*") + 1)
+    states = saved(rows.groupBy("context").agg(rest.alias("rest"), pays.alias("pays")).filter("pays")
+                   .select(F.col("context").alias("key"), "rest"), "states")
+    placed = rows.join(states.withColumnRenamed("key", "context"), "context", "left")
+    state = F.col("rest").isNotNull()
+    return saved(placed.select("key", "n", F.when(state, F.col("own")).otherwise(F.col("shorter")).alias("entry"),
+                               F.when(state, F.col("own") - F.col("shorter") - F.col("rest")).otherwise(0.0).alias("gain")), "grown"), states
+
+
+def suffix_tree(text: DataFrame, vocabulary: DataFrame, total: int, distinct: int, longest: int, share: float, pseudo: float) -> DataFrame:
+    """(key, n, base, known, gain): what each occurrence of a word or run adds to a text's scores (log10), for words above the
+    unknown word's 0.1; ``vocabulary`` is (word, n) of all tokens of ``text``."""
+    least, scale = max(2, share * total), float(np.log(10))
+    words = vocabulary.select(F.col("word").alias("key"), "n")
+    shorter = words.filter(F.col("n") >= least).withColumn(
+        "entry", F.log(F.col("n") + 0.1) - float(np.log(total + 0.1 * (distinct + 1))))
+    weights = [words.withColumns({"base": F.log10(F.col("n") + 0.1) + 1, "known": F.lit(1), "gain": F.lit(0.0)})]
+    for size in range(2, longest + 2):
+        shorter, states = grown(text, shorter, size, least, pseudo)
+        none = {"base": F.lit(0.0), "known": F.lit(0)}
+        weights += [shorter.select("key", "n", *[v.alias(k) for k, v in none.items()], (F.col("gain") / scale).alias("gain")),
+                    states.select("key", F.lit(0).cast("bigint").alias("n"), *[v.alias(k) for k, v in none.items()],
+                                  (F.col("rest") / scale).alias("gain"))]
+    every = weights[0]
+    for more in weights[1:]:
+        every = every.unionByName(more)
+    return saved(every.groupBy("key").agg(F.max("n").alias("n"), F.sum("base").alias("base"), F.sum("known").alias("known"),
+                                          F.sum("gain").alias("gain")).filter("known > 0 OR gain <> 0"), "weights")
 
 
 def suffix_tree_scores(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", longest: int = 2,
-                       share: float = 1e-6, pseudo: float = 5.0) -> DataFrame:
+                       share: float = 0.0, pseudo: float = 5.0) -> DataFrame:
     """``id_col`` of every row of ``docs`` with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``: log10
     probabilities of the text by the words' counts alone and by the tree.
 
     ``training`` (a condition) says which rows are learned from. Null and empty texts are one token, their end. An
     empty table gives no rows; without training rows every token is unknown. Repeated ids keep their rows, other
-    columns are not read. What is broadcast is at most 1 / ``share`` runs (24 bytes each) of each length; words rarer than
-    ``share`` meet their counts in a join.
+    columns are not read. Runs count from two occurrences; only a caller's ``share`` of the training tokens asks for more.
     """
-    if share * (1 << (_WORD_BITS - 1)) < 1:
-        raise ValueError("share must be at least 2^-23")
     spark = docs.sparkSession
     text = docs.filter(training).select(F.coalesce(text_col, F.lit("")).alias("text"))
 
@@ -189,46 +202,54 @@ def suffix_tree_scores(docs: DataFrame, training, id_col: str = "doc_id", text_c
             yield hashes
 
     vocabulary = saved(counted(text, words, "word"), "vocabulary")
-    tree = suffix_tree(text, vocabulary, longest, share, pseudo)
-    held = spark.sparkContext.broadcast(tree)
+    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    weights = suffix_tree(text, vocabulary, total, distinct, longest, share, pseudo)
+    frequent = F.col("n") >= max(2, _FREQUENT * total)
+    table = weights.filter(frequent).orderBy("key").toArrow()
+    order = np.argsort(np.asarray(table["key"]).view(np.uint64))
+    table = [np.asarray(table[c])[order] for c in ("key", "base", "known", "gain")]
+    held = spark.sparkContext.broadcast((table[0].view(np.uint64), *table[1:], Bitmap(weights.filter(~frequent).select("key"))))
 
     def each(batches):
         for batch in batches:
+            keys, base, known, gain, others = held.value
             for low, high, hashes, starts in tokens(batch):
-                tree = held.value
-                word, value = tree.scored(hashes, starts)
-                rows = np.repeat(np.arange(high - low), np.diff(starts))
-                known = word >= 0
-                base = np.where(known, tree.root[word] if len(tree.root) else 0.0, 0.0)
-                add = lambda weights: np.bincount(rows, weights, high - low)  # noqa: E731, B023
-                order = np.lexsort((hashes[~known], rows[~known]))
-                rare, row = hashes[~known][order], rows[~known][order]
-                new = np.append(True, (rare[1:] != rare[:-1]) | (row[1:] != row[:-1]))[:len(rare)]
-                first = np.flatnonzero(new)
+                row = np.repeat(np.arange(high - low), np.diff(starts))
+                sums, rare, rows = [np.zeros(high - low) for _ in range(3)], [], []
+                for found, at in runs(hashes, starts, longest):
+                    place = placed(keys, found)
+                    here = np.flatnonzero(place >= 0)
+                    for k, weight in enumerate((base, known, gain)):
+                        sums[k] += np.bincount(row[at[here]], weight[place[here]], high - low)
+                    travels = np.flatnonzero((place < 0) & others.has(found))
+                    rare.append(found[travels])
+                    rows.append(row[at[travels]])
+                rare, rows = np.concatenate(rare), np.concatenate(rows)
+                order = np.lexsort((rare, rows))
+                rare, rows = rare[order], rows[order]
+                first = np.flatnonzero(np.append(True, (rare[1:] != rare[:-1]) | (rows[1:] != rows[:-1]))[:len(rare)])
                 times = np.diff(np.append(first, len(rare)))
-                ends = np.searchsorted(row[first], np.arange(high - low + 1))
-                offsets = pa.array(ends.astype(np.int32))
+                offsets = pa.array(np.searchsorted(rows[first], np.arange(high - low + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(low, high - low), pa.array(np.diff(starts)), pa.array(add(known).astype(np.int64)),
-                     pa.array(add(base) / np.log(10)), pa.array(add(value) / np.log(10)),
+                    [batch.column("id").slice(low, high - low), pa.array(np.diff(starts)), *map(pa.array, sums),
                      pa.ListArray.from_arrays(offsets, pa.array(rare[first].view(np.int64))),
                      pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))],
-                    names=["id", "n_tokens", "n_known", "base", "value", "rare", "times"])
+                    names=["id", "n_tokens", "base", "known", "gain", "rare", "times"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = saved(source.mapInArrow(each, f"id {kind}, n_tokens BIGINT, n_known BIGINT, base DOUBLE, value DOUBLE, "
+    rows = saved(source.mapInArrow(each, f"id {kind}, n_tokens BIGINT, base DOUBLE, known DOUBLE, gain DOUBLE, "
                                          "rare ARRAY<BIGINT>, times ARRAY<INT>")
                  .withColumn("at", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("at", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))))
-    chance = F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1)) - F.lit(float(np.log10(tree.total + 0.1 * (tree.distinct + 1))))
-    more = rare.join(vocabulary, "word", "left").groupBy("at").agg(
-        F.sum(F.col("times") * chance).alias("less"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"))
-    missing = F.coalesce("less", F.lit(0.0))
+    rare = rows.select("at", F.inline(F.arrays_zip(F.col("rare").alias("key"), F.col("times").alias("times"))))
+    added = {c: F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in ("base", "known", "gain")}
+    more = rare.join(weights.filter(~frequent).drop("n"), "key").groupBy("at").agg(*added.values())
+    whole = {c: F.col(c) + F.coalesce(f"more_{c}", F.lit(0.0)) for c in added}
+    base = whole["base"] - F.col("n_tokens") * float(1 + np.log10(total + 0.1 * (distinct + 1)))
     return rows.drop("rare", "times").join(more, "at", "left").select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(tree.total).cast("bigint").alias("train_tokens"), F.round(F.col("base") + missing, 9).alias("base_score"),
-        F.round(F.col("value") + missing, 9).alias("score"))
+        F.col("id").alias(id_col), "n_tokens", whole["known"].cast("bigint").alias("n_known"),
+        F.lit(total).cast("bigint").alias("train_tokens"), F.round(base, 9).alias("base_score"),
+        F.round(base + whole["gain"], 9).alias("score"))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -107,3 +107,13 @@ def test_nothing_to_learn_from(spark, awkward, no_documents):
     assert suffix_tree_scores(no_documents, ~held_out()).count() == 0
     blind = suffix_tree_scores(awkward, F.lit(False)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and abs(r.score) < 1e-6 for r in blind)
+
+
+def test_rare_runs_count_in_a_large_corpus(spark):
+    long = [(i, "a " * 70_000) for i in range(1000, 1040)]
+    short = [(i, f"x{i // 2} y{i // 2} z{i // 2} a") for i in range(40)]
+    docs = spark.createDataFrame(long + short, "doc_id BIGINT, text STRING")
+    texts = [spoken(t) for i, t in long + short if zlib.crc32(str(i).encode()) % 10]
+    tree = SlowTree(texts, LONGEST, 0, PSEUDO)
+    assert 1e-6 * tree.total > 2 and ("x4",) in tree.entries
+    check(suffix_tree_scores(docs, ~held_out()).filter("doc_id < 1000").collect(), short, tree, LONGEST)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lakemeta.llm.common import saved
 
+#: Rows of 16 bytes for a task to write. Rounds over few links are few tasks and files, however many shuffle partitions there are.
+_ROWS = 1 << 18
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): every linked node with the smallest node it can reach; ``links`` is (u, v).
@@ -18,14 +21,14 @@ def components(links: DataFrame) -> DataFrame:
     stars = saved(_ordered(links.select("u", "v")), "stars")
     before = None
     while (now := _digest(stars)) != before:
-        before = now
+        before, tasks = now, 1 + now[0] // _ROWS
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = saved(both.groupBy("u").agg(F.min("v").alias("low"))
-                       .withColumn("low", F.least("u", "low")), "lowest")
-        large = saved(_ordered(both.join(lowest, "u").filter("v > u").select(F.col("low").alias("u"), "v")), "large")
-        lowest = saved(large.groupBy("v").agg(F.min("u").alias("low")), "lowest")
+                       .withColumn("low", F.least("u", "low")).coalesce(tasks), "lowest")
+        large = saved(_ordered(both.join(lowest, "u").filter("v > u").select(F.col("low").alias("u"), "v")).coalesce(tasks), "large")
+        lowest = saved(large.groupBy("v").agg(F.min("u").alias("low")).coalesce(tasks), "lowest")
         small = large.join(lowest, "v").select(F.col("low").alias("u"), F.col("u").alias("v"))
-        stars = saved(_ordered(small.unionByName(lowest.select(F.col("low").alias("u"), "v"))), "stars")
+        stars = saved(_ordered(small.unionByName(lowest.select(F.col("low").alias("u"), "v"))).coalesce(tasks), "stars")
     roots = stars.select(F.col("v").alias("node"), F.col("u").alias("root"))
     return roots.unionByName(stars.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 

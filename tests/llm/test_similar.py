@@ -8,6 +8,7 @@ from fractions import Fraction
 import pytest
 
 import corpus_pipeline
+from lakemeta.llm import components as components_of
 from lakemeta.llm import similar
 from lakemeta.llm.common import documents
 
@@ -135,3 +136,30 @@ def test_fingerprints_come_first(spark, monkeypatch):
     assert 10 <= left < len(texts)
     monkeypatch.undo()
     assert corpus_pipeline.without_near_duplicates(spark, docs, "").count() == 10
+
+
+def test_rounds_over_few_links_write_few_files(spark, monkeypatch):
+    settings, files = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}, []
+    saved = components_of.saved
+
+    def counting(df, name):
+        out = saved(df, name)
+        files.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(components_of, "saved", counting)
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        links = spark.range(600).selectExpr("id AS u", "id + 1 + 599 * CAST(id % 200 = 199 AS BIGINT) AS v")
+        found = {r.node: r.root for r in components_of.components(links).collect()}
+        few, _ = files[1:], files.clear()
+        monkeypatch.setattr(components_of, "_ROWS", 100)
+        again = {r.node: r.root for r in components_of.components(links).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {i: i // 200 * 200 for i in range(600)} | {i + 600: i // 200 * 200 for i in (199, 399, 599)}
+    assert found == again == want
+    assert len(few) > 4 and all(n == 1 for _, n in few) and max(n for _, n in files[1:]) > 1

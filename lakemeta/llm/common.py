@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -40,6 +41,31 @@ def saved(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFra
     return back.select(*columns) if columns else back
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """DataFrames made in here drop their shuffle files when they have run, not when the driver's garbage is collected."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As ``saved``, without leaving shuffle files behind."""
+    with shuffles_removed(df.sparkSession):
+        return saved(df.select("*"), name)
+
+
+def discarded(*frames: DataFrame) -> None:
+    """Empties folders that ``saved`` wrote, once everything that reads them is written itself."""
+    for df in frames:
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            df.sparkSession.range(0, 0, 1, 1).write.mode("overwrite").parquet(folder)
+
+
 def text_key(id_: Column, text: Column) -> Column:
     """A 64-bit digest that, beside the id, tells rows apart; equal rows share it and get equal results."""
     return F.xxhash64(F.coalesce(text, F.lit("")), id_)

@@ -3,12 +3,14 @@ from __future__ import annotations
 import math
 import random
 import re
+import uuid
 import zlib
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from lakemeta.llm import suffix_tree_lm
 from lakemeta.llm.suffix_tree_lm import held_out, op12_suffix_tree_lm, suffix_tree_scores
 
 LONGEST, SHARE, PSEUDO = 2, 1e-3, 5.0
@@ -117,3 +119,22 @@ def test_rare_runs_count_in_a_large_corpus(spark):
     tree = SlowTree(texts, LONGEST, 0, PSEUDO)
     assert 1e-6 * tree.total > 2 and ("x4",) in tree.entries
     check(suffix_tree_scores(docs, ~held_out()).filter("doc_id < 1000").collect(), short, tree, LONGEST)
+
+
+def test_scores_do_not_depend_on_what_is_broadcast(spark, awkward, monkeypatch):
+    rows = corpus() + [(r.doc_id, r.text) for r in awkward.collect()]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)
+    tree = SlowTree([spoken(t) for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 10], LONGEST, 0, PSEUDO)
+    for most in (0, 40, 1 << 20):
+        monkeypatch.setattr(suffix_tree_lm, "_BROADCAST", most)
+        check(suffix_tree_scores(docs, ~held_out()).collect(), rows, tree, LONGEST)
+
+
+def test_only_the_weights_stay_on_disk(spark, monkeypatch, tmp_path):
+    """What a step leaves behind, in folders or as shuffle files, adds up to several times the input."""
+    monkeypatch.setattr("lakemeta.llm.common.run_dir", lambda _, name: str(tmp_path / f"{name}-{uuid.uuid4().hex}"))
+    docs = spark.createDataFrame(corpus(), "doc_id BIGINT, text STRING")
+    scores = suffix_tree_scores(docs, ~held_out())
+    left = {p.name.split("-")[0]: spark.read.parquet(str(p)).count() for p in tmp_path.iterdir()}
+    assert left.pop("weights") > 40 and left and not any(left.values())
+    assert scores.count() == 120

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from lakemeta.model import COLUMN_KEY, TABLE_KEY
-from lakemeta.operators import diff
+from lakemeta.operators import diff, payload
 from lakemeta.plans.inputs import workload_catalog
 from lakemeta.plans.workloads import load
 from lakemeta.session import dealt, materialize, settings
@@ -70,8 +70,16 @@ def test_staying_rows_join_as_dealt_ones(spark):
 
 
 # One at a time, each leaves behind what it returns and no shuffles of its steps.
-@pytest.mark.parametrize("name", ["diff_tables"])
+@pytest.mark.parametrize("name", ["diff_tables", "diff_constraints", "diff_schemas", "diff_summary", "delta_ops", "soft_deletes"])
 def test_queries_leave_no_shuffle_files(name, spark, lines):
     before = shuffle_files(spark)
     QUERIES[name](spark, lines)
     assert shuffle_files(spark, before) <= before
+
+
+def test_a_type_of_every_connector_is_sent(spark, lines):
+    """Rows are not dealt by their few connectors, however low Spark's limit is."""
+    connectors = load(spark, lines, "connectors")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        named = payload.entity_rows(load(spark, lines, "catalog_tables_all"), connectors)
+        assert exchanges(named) == 1 and "BroadcastHashJoin" in named._jdf.queryExecution().executedPlan().toString()

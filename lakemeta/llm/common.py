@@ -33,14 +33,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def saved(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back, so later jobs survive lost executors."""
-    path = run_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    return back.select(*columns) if columns else back
-
-
 @contextmanager
 def shuffles_removed(spark: SparkSession):
     """DataFrames made in here drop their shuffle files when they have run, not when the driver's garbage is collected."""
@@ -53,10 +45,13 @@ def shuffles_removed(spark: SparkSession):
         spark.conf.set(setting, before)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """As ``saved``, without leaving shuffle files behind."""
+def saved(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
+    """Writes ``df`` once to the shared folder and reads it back, so later jobs survive lost executors. Its shuffle files go."""
+    path = run_dir(df.sparkSession, name)
     with shuffles_removed(df.sparkSession):
-        return saved(df.select("*"), name)
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return back.select(*columns) if columns else back
 
 
 def discarded(*frames: DataFrame) -> None:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemeta.llm.common import FIRST, SECOND, Rolling, binary_column, mix, null_safe, row_groups, saved, text_key, utf8
+from lakemeta.llm.common import FIRST, SECOND, Rolling, binary_column, mix, null_safe, row_groups, saved, shuffles_removed, text_key, utf8
 
 #: Values handled at once; bounds a task's arrays. Places inside a segment fit in 24 bits.
 SEGMENT = 1 << 18
@@ -124,9 +124,10 @@ def count_min(minimisers: Callable, source: DataFrame, bits: int) -> np.ndarray:
         return pa.RecordBatch.from_arrays(
             [pa.array(chunk.astype(np.int32)), binary_column((cell & 32767).astype(np.uint16).view(np.uint8), offsets)], names=["chunk", "cells"])
 
-    twice = laid_out(source.mapInArrow(partial, "chunk INT, cells BINARY"))
+    with shuffles_removed(source.sparkSession):
+        twice = laid_out(source.mapInArrow(partial, "chunk INT, cells BINARY")).collect()
     sketch = np.zeros((_ROWS << bits) // 8, np.uint8)
-    for chunk, part in twice.collect():
+    for chunk, part in twice:
         sketch[chunk * 4096:(chunk + 1) * 4096] = np.frombuffer(part, np.uint8)[:len(sketch)]
     return sketch
 

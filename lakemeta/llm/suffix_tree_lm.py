@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemeta.llm.common import discarded, documents, mix, row_groups, shuffles_removed, stored, utf8
+from lakemeta.llm.common import discarded, documents, mix, row_groups, saved, shuffles_removed, utf8
 from lakemeta.llm.window_dedup import word_sequences
 
 #: Stands for the end of a text; no word hashes to it but by chance.
@@ -174,9 +174,9 @@ def grown(text: DataFrame, shorter: DataFrame, size: int, least: float, pseudo:
     the states (key, n, rest).
     """
     known = text.sparkSession.sparkContext.broadcast(Bitmap(shorter.select("key")))
-    counts = stored(counted_runs(text, size, known, least), "runs")
+    counts = saved(counted_runs(text, size, known, least), "runs")
     chance = (F.col("n") + pseudo * F.exp("shorter")) / (F.col("seen") + pseudo)
-    rows = stored(counts.join(shorter.select(F.col("key").alias("inner"), F.col("entry").alias("shorter")), "inner").drop("inner")
+    rows = saved(counts.join(shorter.select(F.col("key").alias("inner"), F.col("entry").alias("shorter")), "inner").drop("inner")
                   .join(shorter.select(F.col("key").alias("context"), F.col("n").alias("seen")), "context")
                   .select("key", "n", "context", "seen", "shorter", F.log(chance).alias("own")), "entries")
     discarded(counts)
@@ -185,11 +185,11 @@ def grown(text: DataFrame, shorter: DataFrame, size: int, least: float, pseudo:
     seen = F.max("seen")
     pays = seen * (F.sum(F.exp("own") * (F.col("own") - F.col("shorter"))) + left * rest) \
         > 0.5 * F.log(F.greatest(seen, F.lit(2))) * (F.count("*") + 1)
-    states = stored(rows.groupBy("context").agg(seen.alias("n"), rest.alias("rest"), pays.alias("pays")).filter("pays")
+    states = saved(rows.groupBy("context").agg(seen.alias("n"), rest.alias("rest"), pays.alias("pays")).filter("pays")
                     .select(F.col("context").alias("key"), "n", "rest"), "states")
     placed = rows.drop("seen").join(states.select(F.col("key").alias("context"), "rest"), "context", "left")
     state = F.col("rest").isNotNull()
-    out = stored(placed.select("key", "n", F.when(state, F.col("own")).otherwise(F.col("shorter")).alias("entry"),
+    out = saved(placed.select("key", "n", F.when(state, F.col("own")).otherwise(F.col("shorter")).alias("entry"),
                                F.when(state, F.col("own") - F.col("shorter") - F.col("rest")).otherwise(0.0).alias("gain")), "grown")
     discarded(rows)
     return out, states
@@ -212,7 +212,7 @@ def suffix_tree(text: DataFrame, vocabulary: DataFrame, total: int, distinct: in
     every = weights[0]
     for more in weights[1:]:
         every = every.unionByName(more)
-    out = stored(every.groupBy("key").agg(F.max("n").alias("n"), F.sum("base").alias("base"), F.sum("known").alias("known"),
+    out = saved(every.groupBy("key").agg(F.max("n").alias("n"), F.sum("base").alias("base"), F.sum("known").alias("known"),
                                           F.sum("gain").alias("gain")).filter("known > 0 OR gain <> 0"), "weights")
     discarded(*used)
     return out
@@ -245,7 +245,7 @@ def suffix_tree_scores(docs: DataFrame, training, id_col: str = "doc_id", text_c
         for _, _, hashes, _ in tokens(batch):
             yield hashes
 
-    vocabulary = stored(counted(text, words, "word"), "vocabulary")
+    vocabulary = saved(counted(text, words, "word"), "vocabulary")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     weights = suffix_tree(text, vocabulary, total, distinct, longest, share, pseudo)
     frequent = frequent_runs(weights)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import uuid
 from fractions import Fraction
 
 import pytest
@@ -163,3 +164,15 @@ def test_rounds_over_few_links_write_few_files(spark, monkeypatch):
     want = {i: i // 200 * 200 for i in range(600)} | {i + 600: i // 200 * 200 for i in (199, 399, 599)}
     assert found == again == want
     assert len(few) > 4 and all(n == 1 for _, n in few) and max(n for _, n in files[1:]) > 1
+
+
+def test_lists_of_hashes_go_when_they_are_read(spark, monkeypatch, tmp_path):
+    """What lists shingles takes as much as the texts; of it, and of replaced keys, only empty folders are left."""
+    monkeypatch.setattr("lakemeta.llm.common.run_dir", lambda _, name: str(tmp_path / f"{name}-{uuid.uuid4().hex}"))
+    texts = [" ".join(f"w{(i // 3 * 1000 + j) if j else i}" for j in range(40)) for i in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (60, texts[0])], "doc_id BIGINT, text STRING")
+    found = similar.similar(docs)
+    rows = {name: sum(spark.read.parquet(str(p)).count() for p in tmp_path.glob(f"{name}-*")) for name in ("shingled", "sets", "keys")}
+    assert rows == {"shingled": 0, "sets": 0, "keys": 0}
+    assert found.select("component_id").distinct().count() == 20
+    assert similar.without_similar(docs).count() == 20

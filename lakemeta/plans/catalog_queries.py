@@ -13,6 +13,7 @@ from lakemeta.plans import oracle_parts as parts
 from lakemeta.plans.inputs import workload_catalog
 from lakemeta.plans.registry import query
 from lakemeta.plans.workloads import ctes, load, sql, table
+from lakemeta.session import materialize
 
 # --- scalar functions over the wide catalog --------------------------------------------------
 
@@ -142,7 +143,7 @@ SELECT c.connector_id, c.schema_name, c.table_name, c.ordinal_position, c.column
   coalesce(list_contains(fm.members, column_name), FALSE) AS fk_badge
 FROM c LEFT JOIN pk ON {_USING.format("pk")} LEFT JOIN fm ON {_USING.format("fm")}""")
 def column_sheet(spark, sf_dir):
-    return catalog.column_sheet(workload_catalog(spark, sf_dir))
+    return materialize(catalog.column_sheet(workload_catalog(spark, sf_dir)), "column-sheet", stay=True)
 
 
 # --- snapshots -------------------------------------------------------------------------------

@@ -77,6 +77,17 @@ def test_queries_leave_no_shuffle_files(name, spark, lines):
     assert shuffle_files(spark, before) <= before
 
 
+def test_a_sheet_leaves_no_shuffle_files(spark, lines):
+    before = shuffle_files(spark)
+    QUERIES["column_sheet"](spark, lines).write.format("noop").mode("overwrite").save()
+    assert shuffle_files(spark, before) <= before
+
+
+@pytest.mark.parametrize("name, most", [("nested_tables", 11), ("container_payload_sizes", 16)])
+def test_nesting_deals_narrow_rows_once(name, most, spark, lines):
+    assert exchanges(QUERIES[name](spark, lines)) <= most
+
+
 def test_a_type_of_every_connector_is_sent(spark, lines):
     """Rows are not dealt by their few connectors, however low Spark's limit is."""
     connectors = load(spark, lines, "connectors")
